@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import langid, quality
 from .common import table
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ f as (select *, n_words < {quality.BASE_MIN_WORDS} or 100 * n_repeat_words > {qu
 select *, not base_failed and not ({bad} or 100 * dup_line_chars > {quality.MAX_LINE_CHARS} * word_chars) as kept from f"""
 
 
-QUERIES = {"op10_quality": op10_quality}
+QUERIES = {"op4_langid": op4_langid, "op10_quality": op10_quality}
 ORACLES = {"op10_quality": _quality_sql()}
