@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality
+from . import langid, pii, quality
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ f as (select *, n_words < {quality.BASE_MIN_WORDS} or 100 * n_repeat_words > {qu
 select *, not base_failed and not ({bad} or 100 * dup_line_chars > {quality.MAX_LINE_CHARS} * word_chars) as kept from f"""
 
 
-QUERIES = {"op4_langid": op4_langid, "op10_quality": op10_quality}
+QUERIES = {"op4_langid": op4_langid, "op7_pii": op7_pii, "op10_quality": op10_quality}
 ORACLES = {"op10_quality": _quality_sql()}
