@@ -7,8 +7,8 @@ the second, gives the score. Compressed sizes are whole bytes, so very short tex
 the language whose dictionary holds more of the text's letter trigrams (the matches that compression feeds on) is
 taken, and where these are nearly as many too the text is rejected.
 
-Fitting reads ids and languages of all rows, and the text of docs_per_lang rows for each language (those with the
-smallest hash of the id), at most doc_chars code points of each: that bound is the documented sample. Prediction reads
+Fitting counts all rows by language, and reads the text of about docs_per_lang rows of each (a share by the hash of
+the id), at most doc_chars code points of each: that bound is the documented sample. Prediction reads
 whole texts, nothing but the text, and needs no shuffle.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; of languages that remain
@@ -26,7 +26,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import arrow_rows, spark_struct
 
@@ -103,15 +102,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from rows with a language that are not held out."""
     i, lang = F.col(id_col), F.col(lang_col)
     rows = docs.where(lang.isNotNull() & i.isNotNull() & ~held_out(i) & F.col(text_col).isNotNull())
-    keyed = rows.select(lang.alias("lang"), F.xxhash64(i.cast("string")).alias("h"))
-    # the rank is limited before the shuffle, so a language sends docs_per_lang small rows from a task at most
-    first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= docs_per_lang)
-    cut = {r["lang"]: r["top"] for r in first.groupBy("lang").agg(F.max("h").alias("top")).collect()}
-    if not cut:
+    total = {r["lang"]: r["n"] for r in rows.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).collect()}
+    if not total:
         return Model({}, **options)
-    total = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    top = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair])
-    sample = rows.select(lang.alias("lang"), F.xxhash64(i.cast("string")).alias("h"), F.left(F.col(text_col), F.lit(doc_chars)).alias("t")).where(F.col("h") <= top[F.col("lang")])
+    # a share of each language by the hash of the id: no ranking, which would gather a language in one task
+    part = F.create_map(*[F.lit(x) for name, n in total.items() for x in (name, min(1 << 32, (docs_per_lang << 32) // n))])
+    sample = rows.select(lang.alias("lang"), F.xxhash64(i.cast("string")).alias("h"), F.left(F.col(text_col), F.lit(doc_chars)).alias("t")).where(F.pmod("h", F.lit(1 << 32)) < part[F.col("lang")])
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in sample.collect():
         texts.setdefault(r["lang"], []).append((r["h"], r["t"]))
