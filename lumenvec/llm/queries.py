@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, pii, quality
+from . import langid, mixing, packing, pii, quality, warc
 from .common import table
 
 
@@ -25,6 +25,22 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, strlen(h)::bigint as payload_bytes, sha1(h) as x, min(page_id) over (partition by sha1(h)) as first from p),
+g as (select *, list_transform(range(8), lambda i: ('0x' || substr(x, 1 + 5 * i, 5))::bigint) as v from d)
+select page_id, payload_bytes,
+  array_to_string(flatten(list_transform(v, lambda b: list_transform([32768, 1024, 32, 1], lambda q: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((b // q) % 32)::int, 1)))), '') as payload_digest,
+  case when page_id is distinct from first and first is not null then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first then first end as refers_to
+from g"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -54,5 +70,5 @@ f as (select *, n_words < {quality.BASE_MIN_WORDS} or 100 * n_repeat_words > {qu
 select *, not base_failed and not ({bad} or 100 * dup_line_chars > {quality.MAX_LINE_CHARS} * word_chars) as kept from f"""
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op4_langid": op4_langid, "op7_pii": op7_pii, "op10_quality": op10_quality}
-ORACLES = {"op10_quality": _quality_sql()}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op4_langid": op4_langid, "op7_pii": op7_pii, "op9_warc": op9_warc, "op10_quality": op10_quality}
+ORACLES = {"op9_warc": _WARC_SQL, "op10_quality": _quality_sql()}
