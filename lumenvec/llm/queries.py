@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, pii, quality, warc
+from . import langid, mixing, neardup, packing, pii, quality, warc
 from .common import table
 
 
@@ -21,6 +21,23 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classify(table(spark, sf_dir, "documents"))
+
+
+_NEARDUP_SQL = """
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+g as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as sh from g),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+e as (select x, y from l union all select y, x from l),
+r(x, y) as (select doc_id, doc_id from d union select r.x, e.y from r join e on r.y = e.x),
+c as (select x as doc_id, min(y) as component_id from r group by x)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept from d join c using (doc_id) left join n using (doc_id)"""
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -70,5 +87,5 @@ f as (select *, n_words < {quality.BASE_MIN_WORDS} or 100 * n_repeat_words > {qu
 select *, not base_failed and not ({bad} or 100 * dup_line_chars > {quality.MAX_LINE_CHARS} * word_chars) as kept from f"""
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op4_langid": op4_langid, "op7_pii": op7_pii, "op9_warc": op9_warc, "op10_quality": op10_quality}
-ORACLES = {"op9_warc": _WARC_SQL, "op10_quality": _quality_sql()}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op4_langid": op4_langid, "op5_neardup": op5_neardup, "op7_pii": op7_pii, "op9_warc": op9_warc, "op10_quality": op10_quality}
+ORACLES = {"op5_neardup": _NEARDUP_SQL, "op9_warc": _WARC_SQL, "op10_quality": _quality_sql()}
