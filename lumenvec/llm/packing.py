@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import written
 
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 700_000, 40
 _tokenizers: dict[str, WordTokenizer] = {}
 #: Texts of these characters are split here as the tokenizer splits them; lower-casing and normalising change each of them alone.
 _plain = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*").fullmatch

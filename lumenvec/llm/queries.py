@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, neardup, packing, pii, quality, warc
+from . import fingerprint, langid, mixing, neardup, packing, pii, quality, urltree, warc
 from .common import table
 
 
@@ -17,6 +19,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edits(table(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -38,6 +44,35 @@ c as (select x as doc_id, min(y) as component_id from r group by x)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept from d join c using (doc_id) left join n using (doc_id)"""
 
 
+RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+_URL_SQL = f"""
+with u as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{string.ascii_uppercase}', '{string.ascii_lowercase}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+r as (select *, case when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/' when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
+  when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/' when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule from h),
+v as (select *, case rule when 'example.com/de/' then 'block' when 'net/' then 'block' when 'example.net/en/' then 'allow' when 'org/fr/' then 'allow' end as ruling from r),
+p as (select host, path, count(ruling) as labelled, count(*) filter (where ruling = 'block') as blocked from v group by host, path),
+s0 as (select *, string_split(regexp_replace(path, '^/', ''), '/') as raw from p),
+s1 as (select * exclude raw, list_transform(case when len(raw) > {urltree.MAX_DEPTH} then list_append(raw[1:{urltree.MAX_DEPTH}], '{{rest}}') else raw end,
+  lambda x: case when regexp_matches(x, '^[0-9a-fA-F-]{{16,}}$') then '{{h}}' else regexp_replace(x, '[0-9]+', '{{n}}', 'g') end) as seg from s0),
+n as (select *, unnest(range(len(seg))) as depth from s1),
+n2 as (select host, path, labelled, blocked, depth, seg[depth + 1] as segment, array_to_string(seg[1:depth], '/') as parent from n),
+c as (select host, depth, parent, segment, sum(labelled) as l, sum(blocked) as b from n2 group by all),
+f as (select *, count(*) over w as n, (sum(l) over w)::double as al, (sum(b) over w)::double as ab from c window w as (partition by host, depth, parent)),
+g as (select host, depth, parent, segment, case when n > {urltree.MAX_CHILDREN} then '{{*}}'
+  when n > 1 and l >= {urltree.MIN_LABELS} and (b * al - ab * l) * (b * al - ab * l) <= {urltree.CHI2}::double * ab * (al - ab) * l::double then '{{~}}' else segment end as label from f),
+t as (select n2.host, path, labelled, blocked, string_agg(label, '/' order by depth) as template from n2 join g using (host, depth, parent, segment) group by 1, 2, 3, 4),
+prior as (select coalesce(sum(blocked)::double / nullif(sum(labelled), 0), 0) as q from p),
+j as (select host, template, case when (sum(blocked)::double + {urltree.PRIOR_WEIGHT}::double * any_value(q)) / (sum(labelled)::double + {urltree.PRIOR_WEIGHT}::double) >= {urltree.PURITY}::double then 'block' else 'allow' end as learnt from t, prior group by 1, 2)
+select page_id, v.host, v.path, rule, t.template, coalesce(ruling, learnt) as verdict from v join t on v.host = t.host and v.path = t.path join j on j.host = t.host and j.template = t.template"""
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -87,5 +122,5 @@ f as (select *, n_words < {quality.BASE_MIN_WORDS} or 100 * n_repeat_words > {qu
 select *, not base_failed and not ({bad} or 100 * dup_line_chars > {quality.MAX_LINE_CHARS} * word_chars) as kept from f"""
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op4_langid": op4_langid, "op5_neardup": op5_neardup, "op7_pii": op7_pii, "op9_warc": op9_warc, "op10_quality": op10_quality}
-ORACLES = {"op5_neardup": _NEARDUP_SQL, "op9_warc": _WARC_SQL, "op10_quality": _quality_sql()}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_fingerprint": op3_fingerprint, "op4_langid": op4_langid, "op5_neardup": op5_neardup, "op6_urls": op6_urls, "op7_pii": op7_pii, "op9_warc": op9_warc, "op10_quality": op10_quality}
+ORACLES = {"op6_urls": _URL_SQL, "op5_neardup": _NEARDUP_SQL, "op9_warc": _WARC_SQL, "op10_quality": _quality_sql()}
