@@ -7,7 +7,7 @@ import string
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, mixing, neardup, packing, pii, quality, urltree, warc
+from . import fingerprint, langid, license, mixing, neardup, packing, pii, quality, urltree, warc
 from .common import table
 
 
@@ -77,6 +77,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(table(spark, sf_dir, "pages"))
     return warc.read(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -122,5 +126,5 @@ f as (select *, n_words < {quality.BASE_MIN_WORDS} or 100 * n_repeat_words > {qu
 select *, not base_failed and not ({bad} or 100 * dup_line_chars > {quality.MAX_LINE_CHARS} * word_chars) as kept from f"""
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_fingerprint": op3_fingerprint, "op4_langid": op4_langid, "op5_neardup": op5_neardup, "op6_urls": op6_urls, "op7_pii": op7_pii, "op9_warc": op9_warc, "op10_quality": op10_quality}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_fingerprint": op3_fingerprint, "op4_langid": op4_langid, "op5_neardup": op5_neardup, "op6_urls": op6_urls, "op7_pii": op7_pii, "op8_license": op8_license, "op9_warc": op9_warc, "op10_quality": op10_quality}
 ORACLES = {"op6_urls": _URL_SQL, "op5_neardup": _NEARDUP_SQL, "op9_warc": _WARC_SQL, "op10_quality": _quality_sql()}
