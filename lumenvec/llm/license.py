@@ -88,7 +88,7 @@ ORDINARY = (
     "This license expired in 2019 and the copy was returned.", "An attribution error is common in public debates about copyright.", "The domain name was released to the public with a license key.", "Please enter the license key of your copy of the software.",
 )
 CUE = r"(?i)licen[sc]|copyright|\bspdx|redistribut|permission|public domain|general public|creative commons|warrant"
-UNKNOWN, DIMENSIONS, VARIANTS, WINDOW = "unknown", 1 << 14, 60, 30
+UNKNOWN, DIMENSIONS, VARIANTS, WINDOW = "unknown", 1 << 14, 100, 30
 
 
 def tokens(text: Column) -> Column:
@@ -135,7 +135,7 @@ def trained(spark: SparkSession, seed: int = 3, min_precision: float = 0.99) ->
     made = _made(seed)
     rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(float(k)).alias("label"), F.lit(h).alias("held")) for t, k, h in made])))
     data = featured(rows.withColumn("words", tokens(F.col("t")))).select("label", "held", "features").coalesce(1).persist()
-    model = LogisticRegression(family="multinomial", regParam=0.002, maxIter=40).fit(data.where("held = 0"))
+    model = LogisticRegression(family="multinomial", regParam=0.0001, maxIter=60).fit(data.where("held = 0"))
     scored = model.transform(data.where("held = 1")).select("label", "prediction", F.array_max(vector_to_array("probability")).alias("p")).where("prediction > 0").collect()
     data.unpersist()
     ranked = sorted(((r["p"], r["label"] == r["prediction"]) for r in scored), reverse=True)
