@@ -77,19 +77,27 @@ class Engine:
         vector = self.vector_of(q)
         t3 = time.perf_counter()
         footprint = self.footprint_of(user)
-        sc, tag, late = self.spark.sparkContext, f"find-{uuid.uuid4().hex}", threading.Event()
-        timer = threading.Timer(self.timeout_s, lambda: (late.set(), sc.cancelJobsWithTag(tag)))
-        timer.start()
+        sc, tag, late, done = self.spark.sparkContext, f"find-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+        def watch() -> None:
+            if not done.wait(self.timeout_s):
+                late.set()
+                while not done.wait(0.1):  # a job may begin after the time is over
+                    sc.cancelJobsWithTag(tag)
+
+        threading.Thread(target=watch, daemon=True).start()
         sc.addJobTag(tag)
         try:
             rows = compiled(node, self.sources, vector, footprint, semantic=q.kind == "SEMANTIC" and footprint is not None).collect()
         except Exception as e:
-            if late.is_set():
-                raise QueryTimeout(f"query timed out after {self.timeout_s:g} s") from e
-            raise
+            if not late.is_set():
+                raise
+            raise QueryTimeout(f"query timed out after {self.timeout_s:g} s") from e
         finally:
-            timer.cancel()
+            done.set()
             sc.removeJobTag(tag)
+        if late.is_set():
+            raise QueryTimeout(f"query timed out after {self.timeout_s:g} s")
         t4 = time.perf_counter()
         ms = {"parse": t1 - t0, "plan": t2 - t1, "embed": t3 - t2, "search": t4 - t3, "total": t4 - t0}
         ms = {k: 1000 * v for k, v in ms.items()}

@@ -1,0 +1,241 @@
+"""Operators against known numbers, and the engine end to end."""
+
+import json
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumenvec.functions import hashing
+from lumenvec.functions import vectors as V
+from lumenvec.operators import clusters, footprint, search, stats
+from lumenvec.plans.compile import Sources, keep_within
+from lumenvec.plans.nodes import BiasFilter
+from lumenvec.plans.planner import PlanError, Settings
+from lumenvec.session import Engine, QueryTimeout
+from lumenvec.sources import store
+from lumenvec.sources.embedding import EmbeddingError, HashEmbedder
+from lumenvec.streaming import ingest
+
+
+def rows(spark, data, schema):
+    return spark.createDataFrame(data, schema)
+
+
+def one(spark, c):
+    return spark.range(1).select(c).first()[0]
+
+
+def test_vectors(spark):
+    v = V.literal
+    assert one(spark, V.cosine(v([0.6, 0.8]), v([0.6, 0.8]))) == pytest.approx(0)
+    assert one(spark, V.weighted("cosine", v([0.6, 0.8]), v([0.6, 0.8]), v([0, 1]))) == pytest.approx(1 - 0.64)
+    assert one(spark, V.euclidean(v([0, 0]), v([3, 4]))) == 5
+    assert one(spark, V.cosine_full(v([0, 0]), v([3, 4]))) == 1
+    assert one(spark, V.normalized(v([3, 4]))) == pytest.approx([0.6, 0.8])
+    assert one(spark, V.normalized(v([0, 0]))) is None and one(spark, V.normalized(v([float("nan"), 1]))) is None
+    assert one(spark, V.projected(v([1, 2, 3, 4]), {0: 2.0, 2: 0.5}, 4)) == [2, 2, 1.5, 4]
+    assert one(spark, V.multiplied(v([1, 2, 3]), v([0.5, 0.5, 0.5]))) == [0.5, 1, 1.5]
+    assert one(spark, V.average_of(v([0.0]), F.lit(1), v([3.0]), F.lit(2))) == [2]
+    with pytest.raises(ValueError):
+        V.projected(v([1, 2]), {2: 1.0}, 2)
+    with pytest.raises(ValueError):
+        V.distance("other", v([1]), v([1]))
+
+
+def test_jump_hash():
+    assert hashing.jump(np.arange(8), 64).tolist() == [0, 55, 62, 8, 45, 59, 9, 26]
+
+
+def by_value(df, name):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["value"], {})[r["d"]] = r[name]
+    return {k: [v[d] for d in sorted(v)] for k, v in out.items()}
+
+
+def test_category_statistics_and_bias(spark):
+    r = rows(spark, [(1, [0.0, 1.0], "science"), (2, [3.0, 4.0], "science"), (3, [5.0, 2.0], "science"), (4, [0.0, 10.0], "art"), (5, [1.0, 3.0], None)], "id long, vector array<double>, f string").where("id < 5")
+    r = r.withColumn("vector", F.when(F.col("id") == 1, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.col("vector")))
+    assert [x["c"] for x in stats.global_centroid(r).orderBy("d").collect()] == [2.25, 4.0]
+    assert by_value(stats.category_deltas(r, "f"), "delta")["science"] == [0.75, -2.0]
+    two = rows(spark, [(1, [10.0, 0.0], "science"), (2, [0.0, 10.0], "art")], "id long, vector array<double>, f string")
+    terms = {x["d"]: x["shift"] for x in stats.bias_terms(two, [BiasFilter("f", "science")], 0.5, {}).collect()}
+    assert terms == {0: 2.5, 1: -2.5}
+    assert stats.bias_terms(two, [BiasFilter("nowhere", "x")], 0.5, {}) is None
+    q = stats.biased(rows(spark, [([0.0, 0.0],)], "q array<double>"), stats.bias_terms(two, [BiasFilter("f", "science")], 0.5, {}))
+    assert q.first()["q"] == [2.5, -2.5]
+
+
+def test_buckets(spark):
+    bounds = (2015.0, 2018.0, 2021.0, 2024.0)
+    r = rows(spark, [(y, [v, v]) for y, v in ((2015.0, 0.0), (2020.0, 10.0), (2023.0, 20.0), (2025.0, 30.0))], "year double, vector array<double>")
+    part = stats.bucket_sums(r, "year", bounds)
+    got = lambda f: stats.bucket_delta(part, f, bounds).where("d = 0").first()
+    assert got(BiasFilter("year", 2020.0, "="))["delta"] == -5
+    assert got(BiasFilter("year", 2020.0, ">="))["delta"] == 5
+    assert got(BiasFilter("year", 2020.0, "<="))["delta"] == -10
+    assert got(BiasFilter("year", 2019.0, "range", 2023.9))["delta"] == 0
+    with pytest.raises(ValueError, match="boundaries must not be empty"):
+        stats.bucket_of(F.col("year"), ())
+    r = rows(spark, [(2018.0, [1.0] * 2), (2019.0, [2.0] * 2), (2020.0, [10.0] * 2), (2023.0, [20.0] * 2)], "year double, vector array<double>")
+    assert [x["shift"] for x in stats.bias_terms(r, [BiasFilter("year", 2020.0, ">=")], 1.0, {"year": (2015.0, 2020.0)}).collect()] == [6.75, 6.75]
+    assert stats.merged(part, part).where("value = 0 and d = 0").first()["n"] == 2
+
+
+def test_correlation(spark):
+    r = rows(spark, [(float(i), [float(i), float(-i + 10), 42.0]) for i in range(1, 11)], "f double, vector array<double>")
+    got = {x["d"]: x["r"] for x in stats.correlations(r, "f").collect()}
+    assert got[0] == pytest.approx(1) and got[1] == pytest.approx(-1) and got[2] == 0
+    shift = {x["d"]: x["shift"] for x in stats.bias_terms(r, [BiasFilter("f", 100.0, "=")], 0.3, {}).collect()}
+    assert shift[0] == pytest.approx(28.35) and shift[1] == pytest.approx(-28.35)
+    assert stats.correlations(r.limit(1), "f").where("r <> 0").count() == 0
+    assert stats.adaptive_alpha(0.0) == 0.7 and stats.adaptive_alpha(1.0) == 0.2
+
+
+def test_footprints(spark):
+    clicks = rows(spark, [(1, 2, [0.0, 1.0, 0.0], [0.0, 0.5, 0.5]), (1, 1, [1.0, 0.0, 0.0], [0.5, 0.5, 0.0])], "user_id long, ts long, click array<double>, query array<double>")
+    assert footprint.footprints(clicks.where("ts = 1")).first()["footprint"] == pytest.approx([0.85, 0, 0])
+    assert footprint.footprints(clicks).first()["footprint"] == pytest.approx([0.595, 0.15, 0])
+
+
+def test_clusters(spark):
+    first = clusters.insert(None, rows(spark, [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])], "id long, vector array<double>"), 1000)
+    more = clusters.insert(first, rows(spark, [(3, [0.95, 0.05, 0.0]), (4, [0.98, 0.02, 0.0])], "id long, vector array<double>"), 1000)
+    got = {r["cluster_id"]: r for r in more.collect()}
+    assert len(got) == 2 and got[1]["n"] == 3 and got[1]["centroid"] == pytest.approx([2.93 / 3, 0.07 / 3, 0])
+    halves = clusters.split(more, 2)
+    assert sorted(r["n"] for r in halves.collect()) == [1, 1, 2]
+    levels = clusters.tree(halves)
+    assert [len(x) for x in levels] == [3, 2, 1] and levels[-1][0]["n"] == 4
+    assert levels[1][0]["hash"] == hashing.parent_hash(levels[0][0]["hash"], levels[0][1]["hash"])
+    assert clusters.nearest_clusters(more, V.literal([1, 0, 0]), 1).first()["id"] == 1
+
+
+def test_recall_of_probing(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(10, 16))
+    m = centres[rng.integers(0, 10, 500)] + 0.3 * rng.normal(size=(500, 16))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    r = rows(spark, [(i, v.tolist()) for i, v in enumerate(m)], "id long, vector array<double>")
+    c = clusters.trained(spark, r, 10)
+    assigned = clusters.assign(r, c).persist()
+    hits = 0
+    for k in range(5):
+        q = V.literal(m[k])
+        exact = {x["id"] for x in search.nearest(search.scored(r, q), 10).collect()}
+        hits += len(exact & {x["id"] for x in clusters.probe(assigned, c, q, 10, 4).collect()})
+    assert hits >= 45
+
+
+def test_merge_and_changes(spark):
+    a, b = rows(spark, [(1, 0.9), (2, 0.7)], "id long, score double"), rows(spark, [(1, 0.85), (3, 0.95)], "id long, score double")
+    assert [r["id"] for r in search.merge(a, b, k=10, descending=True).collect()] == [3, 1, 2]
+    assert [tuple(r) for r in search.merge(a, b, k=2).collect()] == [(2, 0.7), (1, 0.85)]
+    log = rows(spark, [(1, "insert", 7, "a"), (2, "update", 7, "b"), (3, "insert", 8, "c"), (4, "delete", 8, None)], "txn_id long, op string, id long, v string")
+    assert [(r["id"], r["v"]) for r in store.replayed(log).collect()] == [(7, "b")]
+    assert search.compacted(log.unionByName(log), 1).count() == 3
+    base = rows(spark, [(7, "old"), (9, "z")], "id long, v string")
+    assert {(r["id"], r["v"]) for r in store.upserted(base, store.replayed(log)).collect()} == {(7, "b"), (9, "z")}
+    assert search.shard_timeout(2000, 4) == 500 and search.shard_timeout(100, 10) == 50
+
+
+@pytest.fixture(scope="module")
+def engine(spark):
+    data = [(i, [0.1 + 0.01 * i, 0.2, 0.3, 0.4], json.dumps({"category": "science", "year": 2024, "ok": True, "none": None})) for i in range(1, 6)]
+    data += [(i, [0.9 - 0.01 * i, 0.1, 0.2, 0.1], json.dumps({"category": "history", "year": 2019, "big": 1.5})) for i in range(6, 11)]
+    r = rows(spark, data, "id long, vector array<double>, metadata string")
+    return Engine(spark, Sources(store.shredded(r, {"category": "string", "year": "bigint"}), metadata="metadata", buckets={"year": (2015.0, 2020.0)}), Settings(dim=4, records=10), HashEmbedder(4))
+
+
+def ids(engine, clauses, **k):
+    return [r["id"] for r in engine.find(f"FIND SIMILARITY(vector, VECTOR(0.1, 0.2, 0.3, 0.4)) {clauses}", **k).rows]
+
+
+def test_find(engine):
+    assert len(ids(engine, "LIMIT 4")) == 4
+    assert set(ids(engine, "WITH METADATA WHERE category = 'history'")) == {6, 7, 8, 9, 10}
+    assert set(ids(engine, "WITH METADATA WHERE year >= 2020 AND ok = true")) == {1, 2, 3, 4, 5}  # ok is in the JSON only
+    assert set(ids(engine, "WITH METADATA WHERE big > 1 AND big <= 1.5")) == {6, 7, 8, 9, 10}
+    assert set(ids(engine, "WITH METADATA WHERE none = null")) == {1, 2, 3, 4, 5}
+    assert ids(engine, "WITH METADATA WHERE big = '1.5'") == [] and ids(engine, "WITH METADATA WHERE ok != true") == []
+    assert ids(engine, "LIMIT 3 OFFSET 9") == ids(engine, "LIMIT 10")[9:]
+    assert ids(engine, "ORDER BY score() DESC") == sorted(ids(engine, ""), key=ids(engine, "").index, reverse=True)
+    got = engine.find("FIND SIMILARITY(vector, 'text') PROJECT ON category AS c, upper(category) LIMIT 1")
+    assert set(got.rows[0].asDict()) == {"id", "score", "c", "upper_category"} and got.total == 1
+    assert set(got.timings_ms) == {"parse", "plan", "embed", "search", "total"}
+    assert "Scan" in engine.explain("FIND SIMILARITY(vector, 'text')")
+
+
+def test_find_errors(engine, spark):
+    with pytest.raises(PlanError, match="not a vector"):
+        engine.find("FIND SIMILARITY(nowhere, VECTOR(1.0))")
+    with pytest.raises(PlanError, match="interactions"):
+        engine.find("FIND SIMILARITY(vector, 'x') BIAS recency()")
+    with pytest.raises(EmbeddingError):
+        Engine(spark, engine.sources).find("FIND SIMILARITY(vector, 'x')")
+    slow = Engine(spark, Sources(engine.sources.records.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0) * F.length(F.repeat(F.lit("x"), 50_000_000))))), engine.settings, timeout_s=0.05)
+    with pytest.raises(QueryTimeout):
+        slow.find("FIND SIMILARITY(vector, VECTOR(0.1, 0.2, 0.3, 0.4))")
+
+
+def test_personal_and_other_dimensions(engine, spark):
+    prints = rows(spark, [(7, [0.0, 0.0, 0.0, 1.0])], "user_id long, footprint array<double>")
+    e = Engine(spark, engine.sources, engine.settings, footprints=prints)
+    plain = [r["score"] for r in e.find("FIND SIMILARITY(vector, VECTOR(0.1, 0.2, 0.3, 0.4)) LIMIT 1", user=7).rows]
+    mine = [r["score"] for r in e.find("FIND SEMANTIC(vector, VECTOR(0.1, 0.2, 0.3, 0.4)) LIMIT 1", user=7).rows]
+    biased = [r["score"] for r in e.find("FIND SIMILARITY(vector, VECTOR(0.1, 0.2, 0.3, 0.4)) BIAS personal(u) LIMIT 1", user=7).rows]
+    assert plain != mine and mine == biased
+    assert e.find("FIND SIMILARITY(vector, VECTOR(0.1, 0.2)) LIMIT 1").rows == []
+
+
+def test_deadline():
+    assert keep_within(10, 100, 50) == 10 and keep_within(10, 100, 300) == math.ceil(10 / 3)
+
+
+def test_store_and_plans(spark, tmp_path):
+    r = rows(spark, [(i, [float(i), 1.0], 86400 * (i % 3)) for i in range(30)], "id long, vector array<double>, s long").withColumn("created_at", F.timestamp_seconds("s")).drop("s")
+    path = str(tmp_path / "base")
+    store.write_base(r, path)
+    assert {(x["day"], x["records"]) for x in store.partitions(spark, path).collect()} == {(0, 10), (1, 10), (2, 10)}
+    day = store.read_base(spark, path, [1]).where("id > 3").select("id")
+    assert day.count() == 9
+    text = day._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in text.replace("day#", "day") or "PartitionFilters: [day" in text or "PartitionFilters" in text
+    assert "PushedFilters: [IsNotNull(id), GreaterThan(id,3)]" in text and "vector" not in text.split("ReadSchema:")[1].split("\n")[0]
+    good, bad = store.checked(rows(spark, [(1, [1.0, 2.0]), (2, [1.0]), (3, None), (4, [1.0, float("nan")])], "id long, vector array<double>"), 2)
+    assert [x["id"] for x in good.collect()] == [1] and bad.count() == 3
+    c = clusters.started(r.limit(3))
+    store.save_clusters(c, str(tmp_path / "c"))
+    assert store.load_clusters(spark, str(tmp_path / "c")).count() == 3
+    spark.read.parquet(str(tmp_path / "c")).withColumn("version", F.lit(9)).write.parquet(str(tmp_path / "c9"))
+    with pytest.raises(ValueError, match="version 9"):
+        store.load_clusters(spark, str(tmp_path / "c9"))
+    assert store.readiness(spark, path, None, c) == {"base": True, "hot": False, "clusters": True}
+    hot, rest = store.demoted(r.withColumn("access_count", F.col("id")), 20)
+    assert {x["id"] for x in hot.collect()} == set(range(10)) and rest.count() == 20
+
+
+def test_stream(spark, tmp_path):
+    data = [(i, "insert", [float(i), 1.0], "a" if i % 2 else "b") for i in range(60)]
+    for k in range(3):
+        rows(spark, data[20 * k : 20 * k + 20], "id long, op string, vector array<double>, category string").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    schema = spark.read.parquet(str(tmp_path / "in/0")).schema
+    root = str(tmp_path / "out")
+    changes = ingest.source(spark, str(tmp_path / "in/*"), schema, 1)
+    ingest.start(changes, root, ("category",)).awaitTermination()
+    assert ingest.hot(spark, root).count() == 60
+    got = ingest.statistics(spark, root, "category").where("value = 'a' and d = 0").first()
+    assert (got["s"], got["n"]) == (float(sum(range(1, 60, 2))), 30)
+
+
+def test_knn_join_equals_brute_force(spark):
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(200, 8))
+    r = rows(spark, [(i, v.tolist()) for i, v in enumerate(m)], "id long, vector array<double>")
+    q = r.where("id < 7").select(F.col("id").alias("qid"), F.col("vector").alias("q"))
+    for metric, d in (("cosine", 1 - m[:7] @ m.T), ("euclidean", np.linalg.norm(m[:7, None] - m[None], axis=2))):
+        got = {(x["qid"], x["rank"]): x["id"] for x in search.knn_join(q, r, 3, metric).collect()}
+        assert got == {(k, n + 1): int(i) for k in range(7) for n, i in enumerate(np.argsort(d[k], kind="stable")[:3])}
+    assert search.knn_join(q.where("qid < 0"), r, 3).count() == 0
