@@ -8,10 +8,11 @@ estimates their similarity, and what is not clearly below the threshold is confi
 0.85 a pair shares no band key with probability 1e-9.
 
 Documents of a bucket (one band key) are not paired with each other. First each is compared with one pivot of each of its buckets, the
-most promising pivot first. Linked documents become components. Only in buckets where several components are left,
-the documents outside the largest one are compared with all others of other components, by signatures, in blocks of bounded
-size; what passes is confirmed too. So a large group of near copies takes as many comparisons as it has documents, and no link
-between components is missed.
+most promising pivot. Linked documents become components. Where a bucket still holds several, signatures tell (in blocks of bounded
+size) which components have promising pairs, and these form families. In each family the documents outside
+its largest component are compared with all others of other components, in blocks that hold their full sets, and only links that connect
+components leave a block. So what is written grows with the documents, however large a group of near copies is,
+and no link between components is missed.
 
 Defined cases: a text without words, or null, has no shingles and links with nothing; one with fewer words than a shingle has one
 shingle, its whole sequence; repeated rows are copies; a row without id joins the component of its copies, and is never
@@ -138,7 +139,7 @@ def _sets(width: int):
             found = [shingles(t.as_py(), width) for t in texts]
             yield pa.array([{"set": _digest(s), "shingles": s.view(np.int64)} for s in found], _SET_ARROW)
 
-    return udf
+    return udf.asNondeterministic()  # else a filter on its result is moved below the join that picks the texts, and all texts are taken
 
 
 @F.arrow_udf(T.LongType())
@@ -183,30 +184,109 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("id", F.col("c").alias("component"))
 
 
-def _across(t: pa.Table, least: int) -> pa.Table:
-    """Pairs of a stray and a member of another component, in each unit of a shard, with enough equal places."""
-    t = t.sort_by([(c, "ascending") for c in ("key", "i", "j")])
+class _Joined:
+    """Union by smallest root."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _units(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of strays and of members in each unit of a sorted shard."""
     unit = np.stack([t[c].to_numpy() for c in ("key", "i", "j")])
-    cut = np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(0)) + 1
-    rep, comp, stray, n = (t[c].to_numpy(zero_copy_only=False) for c in ("rep", "component", "stray", "n"))
-    sig = np.asarray(t["sig"].combine_chunks().flatten()).reshape(-1, WORDS64).view(np.uint64)
-    xs, ys = [], []
-    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), t.num_rows], strict=True):
-        s, m = a + np.flatnonzero(stray[a:b]), a + np.flatnonzero(~stray[a:b])
-        for at in range(0, len(s), 64):
-            own = s[at : at + 64]
-            off = np.zeros((len(own), len(m)), np.int64)
-            for k in range(WORDS64):
-                x = sig[own, k][:, None] ^ sig[m, k][None, :]
-                x |= x >> np.uint64(2)
-                x |= x >> np.uint64(1)
-                off += np.bitwise_count(x & _MARK)
-            p, q = np.nonzero((PLACES - off >= least) & (comp[own][:, None] != comp[m][None, :]))
-            xs.append(rep[own[p]])
-            ys.append(rep[m[q]])
-    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+    cut = (np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(0)) + 1).tolist()
+    stray = t["stray"].to_numpy(zero_copy_only=False)
+    for a, b in zip([0, *cut], [*cut, t.num_rows], strict=True):
+        yield a + np.flatnonzero(stray[a:b]), a + np.flatnonzero(~stray[a:b])
+
+
+def _promising(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, strays: np.ndarray, members: np.ndarray, least: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of different components that may be links by size and signature, a few strays at a time, with their equal places."""
+    for at in range(0, len(strays), 64):
+        own = strays[at : at + 64]
+        off = np.zeros((len(own), len(members)), np.int64)
+        for k in range(WORDS64):
+            x = sig[own, k][:, None] ^ sig[members, k][None, :]
+            x |= x >> np.uint64(2)
+            x |= x >> np.uint64(1)
+            off += np.bitwise_count(x & _MARK)
+        p, q = n[own][:, None], n[members][None, :]
+        good = (PLACES - off >= least) & (comp[own][:, None] != comp[members][None, :]) & (100 * np.minimum(p, q) >= percent * np.maximum(p, q))
+        i, j = np.nonzero(good)
+        yield own[i], members[j], PLACES - off[i, j]
+
+
+def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    rep, comp, n = (t[c].to_numpy() for c in ("rep", "component", "n"))
+    return rep, comp, n, np.asarray(t["sig"].combine_chunks().flatten()).reshape(-1, WORDS64).view(np.uint64)
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+
+def _near_components(t: pa.Table, least: int, percent: int) -> pa.Table:
+    """A forest over the components that promising pairs in the buckets of a shard connect: fewer rows than it reads."""
+    t = t.sort_by([(c, "ascending") for c in ("key", "i", "j")])
+    _, comp, n, sig = _columns(t)
+    joined, found = _Joined(), []
+    for strays, members in _units(t):
+        for x, y, _ in _promising(sig, n, comp, strays, members, least, percent):
+            for p, q in np.unique(np.stack([comp[x], comp[y]], 1), axis=0).tolist():
+                if joined.join(p, q):
+                    found.append((p, q))
+    return _pairs(found)
+
+
+def _links_across(t: pa.Table, least: int, percent: int) -> pa.Table:
+    """Links, confirmed on full sets, that connect components in the units of a shard: fewer rows than it reads. The most promising pairs come first, and pairs already connected need no confirmation."""
+    t = t.sort_by([(c, "ascending") for c in ("key", "i", "j", "rep")])
+    rep, comp, n, sig = _columns(t)
+    sets = t["shingles"].combine_chunks()
+    flat, start = np.asarray(sets.flatten()).view(np.uint64), np.concatenate(([0], np.cumsum(n)))
+    joined, found = _Joined(), []
+    for strays, members in _units(t):
+        for x, y, places in _promising(sig, n, comp, strays, members, least, percent):
+            for k in np.argsort(-places, kind="stable").tolist():
+                p, q = int(x[k]), int(y[k])
+                if joined.root(int(comp[p])) == joined.root(int(comp[q])):
+                    continue
+                both = np.concatenate((flat[start[p] : start[p + 1]], flat[start[q] : start[q + 1]]))
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= percent * (len(both) - common):
+                    joined.join(int(comp[p]), int(comp[q]))
+                    found.append((int(rep[p]), int(rep[q])))
+    return _pairs(found)
+
+
+def _dealt(rows: DataFrame, groups: DataFrame, block: int, shard_rows: int) -> DataFrame:
+    """Rows (key, rep, component, ...) of groups (key, all, most, main) in units of at most about block members by block strays, a few units to a shard.
+
+    Members are all rows of a group, strays those outside its main component."""
+    laid = rows.join(groups.select("key", "main", F.ceil(F.col("all") / block).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("ns")), "key")
+    h = F.xxhash64("rep")
+    members = laid.select("*", F.lit(False).alias("stray"), F.pmod(h, F.col("nb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("j"))
+    strays = laid.where("component <> main").select("*", F.lit(True).alias("stray"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod(h, F.col("ns")).cast("int").alias("j"))
+    n = groups.agg(F.sum("all")).first()[0] or 0
+    return members.unionByName(strays).drop("main", "nb", "ns").withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n // shard_rows + 1)))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(key, all, most, main) of the groups of rows (key, component) with several components: how many rows in all, in the largest component, and which that is."""
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("m"))
+    return parts.groupBy("key").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("component", F.struct("m", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
@@ -227,41 +307,41 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
         return pairs.join(x, "a").join(y, "b").where(close).select("a", "b", equal_places(F.col("sa"), F.col("sb")).alias("places")).where(F.col("places") >= least)
 
+    def full_sets(ends: DataFrame) -> DataFrame:
+        """(rep, shingles) for the reps in ends, from the texts of just these documents."""
+        own = ends.distinct().join(reps.select("rep", "set"), "rep").withColumnRenamed("set", "own")
+        texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).join(own, "rep")
+        # rows with equal ids may have other texts
+        return texts.select("rep", "own", _sets(width)("t").alias("s")).where(F.col("own") == F.col("s.set")).select("rep", F.col("s.shingles").alias("shingles")).dropDuplicates(["rep"])
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs that are links by their full sets, which are taken from the texts of just these documents."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "set"), "rep")
-        texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).join(ends.withColumnRenamed("set", "own"), "rep")
-        full = written(texts.select("rep", "own", _sets(width)("t").alias("s")).where(F.col("own") == F.col("s.set")).select("rep", F.col("s.shingles").alias("shingles")).dropDuplicates(["rep"]), "sets")
+        """Pairs that are links by their full sets."""
+        full = written(full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep"))), "sets")
         joined = pairs.select("a", "b").join(full.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(full.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
         counted = joined.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), _common("sa", "sb").alias("common"))
         return counted.where(100 * F.col("common") >= percent * (F.col("n") - F.col("common"))).select("a", "b")
 
-    # a is the pivot, the smaller one; b is compared with its most promising pivot before the others
+    # a is the pivot, the smaller one; b is compared with its most promising pivot
     first = written(estimated(shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()), "pairs")
     best = first.groupBy("b").agg(F.max_by("a", F.struct("places", -F.col("a"))).alias("a")).select("a", "b")
     links = written(confirmed(best), "links")
     found = components(links)
 
-    # what is left: pairs across components in one bucket
-    labelled = written(shared.select("key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "labelled")
-    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("key").agg(F.sum("m").alias("all"), F.max_by("component", F.struct("m", -F.col("component"))).alias("main"), F.max("m").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    # blocks of members by blocks of strays; a bucket of two is one pair that the pivots have seen
-    laid = labelled.join(mixed.where(F.col("all") > 2).select("key", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("ns")), "key")
-    h = F.xxhash64("rep")
-    block, stray_block = F.pmod(h, F.col("nb")).cast("int"), F.pmod(h, F.col("ns")).cast("int")
-    members = laid.withColumn("stray", F.lit(False)).withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)))
-    strays = laid.where("component <> main").withColumn("stray", F.lit(True)).withColumn("j", stray_block).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    units = members.unionByName(strays).select("key", "i", "j", "rep", "component", "stray").join(light, "rep")
-    n_shards = max(1, mixed.where(F.col("all") > 2).agg(F.sum("all")).first()[0] or 0) // 20_000 + 1
-    dealt = units.withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_shards)))
-    across = dealt.groupBy("shard").applyInArrow(lambda t: _across(t, least), "a bigint, b bigint").distinct()
-    untested = across.unionByName(first.select("a", "b")).distinct().join(best, ["a", "b"], "left_anti")
+    # what is left: components that promising pairs connect, in buckets of three and more or by another pivot
     of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    open_ = untested.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    rest = written(estimated(open_), "pairs")
-    if not rest.isEmpty():
-        more = written(confirmed(rest), "links")
+    labelled = written(shared.select("key", "rep").join(of("rep"), "rep", "left").select("key", "rep", F.coalesce("crep", "rep").alias("component")), "labelled")
+    units = _dealt(labelled, _mixed(labelled).where("all > 2"), BLOCK, 20_000).join(light, "rep")
+    near = units.groupBy("shard").applyInArrow(lambda t: _near_components(t, least, percent), "a bigint, b bigint")
+    others = first.select("a", "b").join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    edges = written(near.unionByName(others).distinct(), "near")
+    if not edges.isEmpty():
+        # every such pair lies in one family of components; in each, strays and members are compared with their full sets at hand
+        family = components(edges).select(F.col("id").alias("component"), F.col("component").alias("key"))
+        label = light.join(of("rep"), "rep", "left").select("rep", "n", "sig", F.coalesce("crep", "rep").alias("component")).join(family, "component")
+        active = written(label.select("key", "component", "rep", "n", "sig"), "active")
+        with_sets = written(active.join(full_sets(active.select("rep")), "rep"), "active-sets")
+        dealt = _dealt(with_sets, _mixed(active), BLOCK // 2, 2_000)
+        more = written(dealt.groupBy("shard").applyInArrow(lambda t: _links_across(t, least, percent), "a bigint, b bigint"), "links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
 
