@@ -76,7 +76,7 @@ class Model:
         return [(sum(len(c.compress(b)) for b in blocks), lang) for lang, c in self.compressors]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.dictionaries or not _letters(text):
+        if not text or not self.dictionaries or not any(c.isalpha() for w in _letters(text) for c in w):  # \w also has digits like a superscript two
             return UNDETERMINED, 0.0, True
         found = self.sizes(text)
         best, lang = min(found, key=lambda x: x[0])  # the first of equals

@@ -88,7 +88,7 @@ ORDINARY = (
     "This license expired in 2019 and the copy was returned.", "An attribution error is common in public debates about copyright.", "The domain name was released to the public with a license key.", "Please enter the license key of your copy of the software.",
 )
 CUE = r"(?i)licen[sc]|copyright|\bspdx|redistribut|permission|public domain|general public|creative commons|warrant"
-UNKNOWN, DIMENSIONS, VARIANTS, WINDOW = "unknown", 1 << 14, 100, 30
+UNKNOWN, DIMENSIONS, VARIANTS, WINDOW = "unknown", 1 << 14, 100, 12
 
 
 def tokens(text: Column) -> Column:
@@ -108,7 +108,7 @@ def featured(rows: DataFrame) -> DataFrame:
 
 
 def _made(seed: int) -> list[tuple[str, int, int]]:
-    """Paragraphs, their class (0: unknown), and whether held out: one in five variants."""
+    """Paragraphs, their class (0: unknown), and whether held out, one in five."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("th", "an", "er", "on", "in", "re", "es", "ti", "le", "de", "que", "und", "ch")) for _ in range(rng.randint(1, 4)))
     noise = lambda n: " ".join(word() for _ in range(rng.randrange(n + 1)))
@@ -125,7 +125,7 @@ def _made(seed: int) -> list[tuple[str, int, int]]:
                 words = [rng.choice(("license", "licensed", "copyright", "permission"))] + noise(20).split()
             elif rng.random() < 0.3 and len(words) > 6:
                 words.pop(rng.randrange(len(words)))
-            out.append((f"{noise(8)} {' '.join(words)} {noise(8)}", k, int(n % 5 == 4)))
+            out.append((f"{noise(WINDOW)} {' '.join(words)} {noise(WINDOW)}", k, int(rng.random() < 0.2)))
     return out
 
 
@@ -144,7 +144,7 @@ def trained(spark: SparkSession, seed: int = 3, min_precision: float = 0.99) ->
         right += good
         if right >= min_precision * n:
             threshold = p
-    return model, max(0.5, min(threshold, 0.95))
+    return model, max(0.3, min(threshold, 0.95))
 
 
 def paragraphs(text: Column) -> Column:

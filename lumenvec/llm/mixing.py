@@ -6,8 +6,9 @@ of its documents is expected: the whole part is certain, the fraction is an incl
 the probabilities of three documents at a time along the direction that keeps both their number and their words as
 expected, up or down at random with mean zero, until one of them is decided. Blocks of about block_rows documents of a
 source are flown independently; the few undecided documents of each block meet again in the next level's
-blocks, until one block is left for a source. There a landing of at most LANDING undecided documents takes the
-decision that comes nearest to the target.
+blocks, until one block is left for a source. There documents so large that no few others can make up for them are
+decided first, with the others' probabilities scaled to the target, and after the flight a landing of at most LANDING
+undecided documents takes the decision that comes nearest to the target.
 
 What a task holds is one block. Only a row for each source is ordered in one place. Random numbers
 come from the seed, the level and the block, and rows are ordered by a hash of the id, so runs agree.
@@ -96,6 +97,29 @@ def fly(p: np.ndarray, size: np.ndarray, rng: random.Random, stop: int = 2) -> N
         active = rest
 
 
+def settle(p: np.ndarray, size: np.ndarray, goal: float, rng: random.Random, large: float = 0.05) -> None:
+    """Decide units of more than large times the goal one by one, at random where the others can make up for either outcome; after each, the others' probabilities are scaled so that the words stay as expected."""
+    for k in np.argsort(-size, kind="stable").tolist():
+        if size[k] <= large * goal:
+            return
+        if not 0 < p[k] < 1:
+            continue
+        others = (p > 0) & (p < 1)
+        others[k] = False
+        sure, room = float(size[p == 1].sum()), float(size[others].sum())
+        fits = [0 <= goal - sure - x * size[k] <= room for x in (0, 1)]
+        take = rng.random() < p[k] if fits[0] == fits[1] else fits[1]
+        p[k] = float(take)
+        need = goal - sure - take * size[k]
+        for _ in range(50):  # scale, and again where some reach 1
+            free = others & (p < 1)
+            now, full = float(p[free] @ size[free]), float(size[others & ~free].sum())
+            if now <= 0 or abs(now + full - need) <= _EPS * max(1.0, goal):
+                break
+            p[free] = np.clip(p[free] * max(0.0, need - full) / now, 0.0, 1.0)
+        p[others] = np.clip(p[others], 2 * _EPS, 1 - 2 * _EPS) if need > 0 else p[others]
+
+
 def land(p: np.ndarray, size: np.ndarray, goal: float) -> None:
     """Decide the rest in place, so that the words taken come nearest to goal, then the number of documents to its expectation."""
     rest = np.flatnonzero((p > 0) & (p < 1))
@@ -117,6 +141,8 @@ def sample(units: DataFrame, seed: int = 0, block_rows: int = 1000) -> DataFrame
         p, size = t["p"].to_numpy().copy(), t["size"].to_numpy().astype(float)
         goal = float(p @ size)
         rng = random.Random(f"{seed} {level} {rank} {block}")
+        if blocks == 1:
+            settle(p, size, goal, rng)
         fly(p, size, rng, LANDING if blocks == 1 else 2)
         if blocks == 1:
             land(p, size, goal)
