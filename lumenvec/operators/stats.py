@@ -8,6 +8,7 @@ merge by addition.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,19 +102,59 @@ def adaptive_alpha(share: float) -> float:
     return min(0.7, max(0.2, 0.2 + 0.5 * (1 - share)))
 
 
-def bias_terms(records: DataFrame, filters: Sequence[BiasFilter], alpha: float, buckets: dict[str, Sequence[float]], vector: str = "vector") -> DataFrame | None:
-    """d, shift: what the filters add to the query vector. Categories by their delta; numbers by bucket deltas where the field has buckets, else by correlation. None if no filter applies."""
+@dataclass
+class Kept:
+    """Statistics as tables, so that a query reads a few rows for each dimension instead of the records: sums by field (for bucketed fields by bucket),
+    the centroid of all records (d, c), and correlations by field (d, r, mean)."""
+
+    sums: dict[str, DataFrame] = field(default_factory=dict)
+    centroid: DataFrame | None = None
+    correlations: dict[str, DataFrame] = field(default_factory=dict)
+
+
+def gathered(records: DataFrame, path: str, categorical: Sequence[str] = (), buckets: dict[str, Sequence[float]] | None = None, numeric: Sequence[str] = (), vector: str = "vector") -> Kept:
+    """Compute the statistics once and keep them as Parquet under path."""
+    spark = records.sparkSession
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")  # groups times dimensions: small
+        return spark.read.parquet(f"{path}/{name}")
+
+    kept = Kept(centroid=stored(global_centroid(records, vector), "centroid"))
+    for f in categorical:
+        kept.sums[f] = stored(sums(records.withColumn("_v", F.col(f).cast("string")), "_v", vector), f"sums-{f}")
+    for f, bounds in (buckets or {}).items():
+        kept.sums[f] = stored(bucket_sums(records, f, bounds, vector), f"sums-{f}")
+    for f in numeric:
+        kept.correlations[f] = stored(correlations(records, f, vector), f"correlations-{f}")
+    return kept
+
+
+def bias_terms(records: DataFrame, filters: Sequence[BiasFilter], alpha: float, buckets: dict[str, Sequence[float]], vector: str = "vector", kept: Kept | None = None) -> DataFrame | None:
+    """d, shift: what the filters add to the query vector. Categories by their delta; numbers by bucket deltas where the field has buckets, else by correlation. None if no filter applies.
+
+    Kept statistics are used where there are any; else the records are aggregated."""
+    kept = kept or Kept()
     out: DataFrame | None = None
     for f in filters:
         if f.field not in records.columns:
             continue
         if isinstance(f.value, str):
-            part = category_deltas(records.withColumn("_v", F.col(f.field).cast("string")), "_v", vector).where(F.col("value") == f.value).select("d", (alpha * F.col("delta")).alias("shift"))
+            part_sums = kept.sums.get(f.field)
+            if part_sums is None:
+                part_sums = sums(records.withColumn("_v", F.col(f.field).cast("string")).where(F.col("_v") == f.value), "_v", vector)
+            all_ = kept.centroid if kept.centroid is not None else global_centroid(records, vector)
+            own = centroids(part_sums.where(F.col("value") == f.value)).withColumnRenamed("c", "own")
+            part = own.join(all_, "d").select("d", (alpha * (F.col("own") - F.col("c"))).alias("shift"))
         elif f.field in buckets:
-            part = bucket_delta(bucket_sums(records, f.field, buckets[f.field], vector), f, buckets[f.field]).select("d", (alpha * F.col("delta")).alias("shift"))
+            part_sums = kept.sums.get(f.field)
+            if part_sums is None:
+                part_sums = bucket_sums(records, f.field, buckets[f.field], vector)
+            part = bucket_delta(part_sums, f, buckets[f.field]).select("d", (alpha * F.col("delta")).alias("shift"))
         else:
             middle = (float(f.value) + float(f.high)) / 2 if f.op == "range" else float(f.value)
-            part = correlations(records, f.field, vector).select("d", (alpha * F.col("r") * (F.lit(middle) - F.col("mean"))).alias("shift"))
+            found = kept.correlations.get(f.field)
+            part = (correlations(records, f.field, vector) if found is None else found).select("d", (alpha * F.col("r") * (F.lit(middle) - F.col("mean"))).alias("shift"))
         out = part if out is None else out.unionByName(part)
     return None if out is None else out.groupBy("d").agg(F.sum("shift").alias("shift"))
 

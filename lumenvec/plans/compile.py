@@ -36,6 +36,7 @@ class Sources:
     metric: str = "cosine"
     id_col: str = "id"
     metadata: str | None = None
+    kept: stats.Kept | None = None  # statistics for query bias; without them each biased query aggregates the records
     extra: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)  # further scoring functions: from candidates with similarity to the same with rank
 
 
@@ -46,7 +47,7 @@ def query_vector(plan: Node, s: Sources, q: Sequence[float], footprint: Sequence
     if personal and footprint:
         out = [x * f for x, f in zip(out, footprint, strict=False)]
     if scan.bias and scan.alpha:
-        terms = stats.bias_terms(s.records, scan.bias, scan.alpha, s.buckets, scan.field)
+        terms = stats.bias_terms(s.records, scan.bias, scan.alpha, s.buckets, scan.field, s.kept)
         for r in terms.collect() if terms is not None else []:
             if r["d"] < len(out) and r["shift"] is not None:
                 out[r["d"]] += r["shift"]

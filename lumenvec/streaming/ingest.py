@@ -64,7 +64,7 @@ def live_footprints(clicks: DataFrame, user: str = "user_id") -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         for c, q in zip(rows["click"], rows["query"], strict=True):
             old = list(c) if footprint is None else footprint
-            footprint = [0.7 * o + 0.3 * x * y for o, x, y in zip(old, c, q, strict=False)]
+            footprint = [float(0.7 * o + 0.3 * x * y) for o, x, y in zip(old, c, q, strict=False)]
             n += 1
         state.update((footprint, n))
         yield pd.DataFrame({user: [key[0]], "n": [n], "footprint": [footprint]})

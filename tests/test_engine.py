@@ -190,6 +190,16 @@ def test_personal_and_other_dimensions(engine, spark):
     assert e.find("FIND SIMILARITY(vector, VECTOR(0.1, 0.2)) LIMIT 1").rows == []
 
 
+def test_kept_statistics_give_the_same_bias(engine, spark, tmp_path):
+    src = engine.sources
+    kept = stats.gathered(src.records, str(tmp_path), ["category"], src.buckets, ["id"])
+    filters = [BiasFilter("category", "science"), BiasFilter("year", 2020.0, ">="), BiasFilter("id", 3.0, "range", 5.0)]
+    plain, fast = ({r["d"]: pytest.approx(r["shift"]) for r in stats.bias_terms(src.records, filters, 0.3, src.buckets, kept=k).collect()} for k in (None, kept))
+    assert plain == fast and len(plain) == 4
+    text = stats.bias_terms(src.records, filters, 0.3, src.buckets, kept=kept)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Generate" not in text  # no vector is taken apart
+
+
 def test_deadline():
     assert keep_within(10, 100, 50) == 10 and keep_within(10, 100, 300) == math.ceil(10 / 3)
 
