@@ -34,7 +34,8 @@ CACHE_ENTRIES, CACHE_CHARS = 700_000, 40
 _tokenizers: dict[str, WordTokenizer] = {}
 #: Texts of these characters are split here as the tokenizer splits them; lower-casing and normalising change each of them alone.
 _plain = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*").fullmatch
-_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
+_LETTERS, _NUMBERS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_words = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+").findall
 
 
 class WordTokenizer:
@@ -67,7 +68,7 @@ class WordTokenizer:
         known = self.known
         new = list(set(itertools.filterfalse(known.__contains__, words if plain else map(_chunk, words))))
         if plain and new:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(new):
                 data, at = ids.tobytes(), (4 * at).tolist()
