@@ -8,7 +8,7 @@ the resulting tree) is rejected if its share of blocked labels, smoothed by prio
 all, reaches purity.
 
 Counts are taken per distinct host and path first, so a host with a third of all pages is no hot key: groups are summed before
-they are shuffled, and the verdicts return in an equi-join.
+they are shuffled, and what was learnt returns to the paths in joins with salted keys.
 
 Defined cases: a url that is null or has no `://` has an empty host and path and no rule, and is judged as that template; repeated rows are
 judged alike; a template without labels is allowed unless the share of all reaches purity; an empty table gives no rows; columns other
@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 16  # over which the paths of one node or template are spread in joins
 MAX_DEPTH, MAX_CHILDREN, MIN_LABELS, PRIOR_WEIGHT, PURITY = 8, 12, 5, 4.0, 0.9
 CHI2 = 3.84  # at five per cent
 
@@ -44,6 +45,15 @@ def ruled(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     return name, verdict
 
 
+def salted(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def spread(groups: DataFrame) -> DataFrame:
+    """Each group once for each salt: a row for each group, so few."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def templates(paths: DataFrame) -> DataFrame:
     """paths: host, path, labelled, blocked. Adds template."""
     bare = F.regexp_replace("path", "^/", "")
@@ -59,7 +69,7 @@ def templates(paths: DataFrame) -> DataFrame:
     similar = (F.col("l") >= MIN_LABELS) & (off * off <= F.lit(CHI2) * d("all_b") * (d("all_l") - d("all_b")) * d("l"))
     label = F.when(F.col("n") > MAX_CHILDREN, "{*}").when((F.col("n") > 1) & similar, "{~}").otherwise(F.col("segment"))
     named = children.join(family, ["host", "depth", "parent"]).select("host", "depth", "parent", "segment", label.alias("label"))
-    back = nodes.join(named, ["host", "depth", "parent", "segment"])
+    back = salted(nodes, "path").join(spread(named), ["host", "depth", "parent", "segment", "salt"])
     return back.groupBy("host", "path", "labelled", "blocked").agg(F.concat_ws("/", F.transform(F.sort_array(F.collect_list(F.struct("depth", "label"))), lambda x: x["label"])).alias("template"))
 
 
@@ -73,5 +83,5 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str =
     total = paths.agg(F.coalesce(F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0)).alias("prior"))
     purity = (F.col("b") + F.lit(PRIOR_WEIGHT) * F.col("prior")) / (F.col("l") + F.lit(PRIOR_WEIGHT))
     verdicts = found.join(F.broadcast(total)).select("host", "template", F.when(purity >= PURITY, "block").otherwise("allow").alias("learnt"))  # total is one row
-    by_path = placed.join(verdicts, ["host", "template"]).select("host", "path", "template", "learnt")
+    by_path = salted(placed, "path").join(spread(verdicts), ["host", "template", "salt"]).select("host", "path", "template", "learnt")
     return seen.join(by_path, ["host", "path"]).select(id_col, "host", "path", "rule", "template", F.coalesce("ruling", "learnt").alias("verdict"))
