@@ -32,6 +32,8 @@ from pyspark.sql.window import Window
 from .common import WORD, written
 
 LANDING = 12
+#: Tables with a row for each source are sent to all tasks up to so many rows, which is looked at first; beyond, sources meet their rows in a shuffled join.
+MAX_SENT = 50_000
 _EPS = 1e-9
 
 
@@ -58,6 +60,11 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     return rows.select("source", "rank", "source_size", "n", F.least(target, F.col("cap")).alias("target"))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, to be sent to all tasks if they are few."""
+    return F.broadcast(rows) if rows.limit(MAX_SENT + 1).count() <= MAX_SENT else rows
+
+
 def fly(p: np.ndarray, size: np.ndarray, rng: random.Random, stop: int = 2) -> None:
     """Decide probabilities in place, keeping their sum and their sum by size, until stop or fewer are undecided (or none can move)."""
     queue = np.flatnonzero((p > _EPS) & (p < 1 - _EPS)).tolist()
@@ -149,9 +156,11 @@ def sample(units: DataFrame, seed: int = 0, block_rows: int = 1000) -> DataFrame
         return t.set_column(t.schema.get_field_index("p"), "p", pa.array(p)).select(schema.names)
 
     while True:
-        blocks = units.groupBy("rank").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias("_blocks"))
-        dealt = units.join(blocks, "rank").withColumn("_h", F.xxhash64(F.lit(seed), F.col("id"))).withColumn("_block", F.pmod(F.xxhash64(F.lit(level), "_h"), F.col("_blocks")))
-        flown = written(dealt.groupBy("rank", "_block").applyInArrow(one, schema), "flown")
+        blocks = written(units.groupBy("rank").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias("_blocks")), "blocks")
+        dealt = units.join(_few(blocks), "rank").withColumn("_h", F.xxhash64(F.lit(seed), F.col("id"))).withColumn("_block", F.pmod(F.xxhash64(F.lit(level), "_h"), F.col("_blocks")))
+        # one column: rows that the join has dealt by rank would otherwise stay together, a source in one task
+        dealt = dealt.withColumn("_unit", F.concat_ws("/", "rank", "_block"))
+        flown = written(dealt.groupBy("_unit").applyInArrow(one, schema), "flown")
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         sure = flown.where(~open_)
         done = sure if done is None else done.unionByName(sure)
@@ -167,7 +176,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size")), "sizes")
     by = targets(sizes, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = sizes.join(by.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "inner")
+    joined = sizes.join(_few(by.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")), "inner")
     whole = F.floor(rate + 1e-12)
     units = joined.select("id", "source", "rank", "size", "source_size", "target", whole.cast("long").alias("whole"), F.greatest(F.lit(0.0), rate - whole).alias("p"))
     copies = F.col("whole") + F.round("p").cast("long")
