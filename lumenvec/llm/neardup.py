@@ -39,7 +39,7 @@ PLACES = BANDS * ROWS
 WORDS64 = PLACES * BITS // 64
 #: Estimates lower than the threshold by more than this are not confirmed: over five standard deviations.
 SLACK = 0.2
-BLOCK = 2048
+BLOCK, SHARD_ROWS, SET_WEIGHT = 1024, 2000, 1500
 
 _rng = np.random.default_rng(20240131)
 _A = _rng.integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -271,8 +271,8 @@ def _links_across(t: pa.Table, least: int, percent: int) -> pa.Table:
     return _pairs(found)
 
 
-def _dealt(rows: DataFrame, groups: DataFrame, block: int, shard_rows: int) -> DataFrame:
-    """Rows (key, rep, component, ...) of groups (key, all, most, main) in units of at most about block members by block strays, a few units to a shard.
+def _dealt(rows: DataFrame, groups: DataFrame, block: int, shard: int) -> DataFrame:
+    """Rows (key, rep, component, ...) of groups (key, all, most, main) in units of about block members by block strays at most, by weight, a few units to a shard.
 
     Members are all rows of a group, strays those outside its main component."""
     laid = rows.join(groups.select("key", "main", F.ceil(F.col("all") / block).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("ns")), "key")
@@ -280,12 +280,12 @@ def _dealt(rows: DataFrame, groups: DataFrame, block: int, shard_rows: int) -> D
     members = laid.select("*", F.lit(False).alias("stray"), F.pmod(h, F.col("nb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("j"))
     strays = laid.where("component <> main").select("*", F.lit(True).alias("stray"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod(h, F.col("ns")).cast("int").alias("j"))
     n = groups.agg(F.sum("all")).first()[0] or 0
-    return members.unionByName(strays).drop("main", "nb", "ns").withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n // shard_rows + 1)))
+    return members.unionByName(strays).drop("main", "nb", "ns").withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n // shard + 1)))
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """(key, all, most, main) of the groups of rows (key, component) with several components: how many rows in all, in the largest component, and which that is."""
-    parts = rows.groupBy("key", "component").agg(F.count("*").alias("m"))
+def _mixed(rows: DataFrame, weight: Column) -> DataFrame:
+    """(key, all, most, main) of the groups of rows (key, component) with several components: the weight in all, in the heaviest component, and which that is."""
+    parts = rows.groupBy("key", "component").agg(F.sum(weight).alias("m"))
     return parts.groupBy("key").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("component", F.struct("m", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
 
 
@@ -330,7 +330,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     # what is left: components that promising pairs connect, in buckets of three and more or by another pivot
     of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     labelled = written(shared.select("key", "rep").join(of("rep"), "rep", "left").select("key", "rep", F.coalesce("crep", "rep").alias("component")), "labelled")
-    units = _dealt(labelled, _mixed(labelled).where("all > 2"), BLOCK, 20_000).join(light, "rep")
+    units = _dealt(labelled, _mixed(labelled, F.lit(1)).where("all > 2"), BLOCK, SHARD_ROWS).join(light, "rep")
     near = units.groupBy("shard").applyInArrow(lambda t: _near_components(t, least, percent), "a bigint, b bigint")
     others = first.select("a", "b").join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
     edges = written(near.unionByName(others).distinct(), "near")
@@ -340,7 +340,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         label = light.join(of("rep"), "rep", "left").select("rep", "n", "sig", F.coalesce("crep", "rep").alias("component")).join(family, "component")
         active = written(label.select("key", "component", "rep", "n", "sig"), "active")
         with_sets = written(active.join(full_sets(active.select("rep")), "rep"), "active-sets")
-        dealt = _dealt(with_sets, _mixed(active), BLOCK // 2, 2_000)
+        dealt = _dealt(with_sets, _mixed(active, F.col("n") + SET_WEIGHT), BLOCK * SET_WEIGHT, SHARD_ROWS * SET_WEIGHT)  # long documents count more, so that a block's sets fit in memory
         more = written(dealt.groupBy("shard").applyInArrow(lambda t: _links_across(t, least, percent), "a bigint, b bigint"), "links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
