@@ -6,7 +6,7 @@ A single query's vector is a constant of the plan, so a search is one scan with
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from ..functions import vectors as V
 from ..functions.hashing import SHARDS, shard_of
 
-#: A query batch's vectors travel with the tasks: at most so many numbers, else the caller splits the batch.
+#: A query batch's vectors travel with the tasks: at most so many numbers at once.
 MAX_BATCH_NUMBERS = 8_000_000
 
 
@@ -77,24 +77,52 @@ def coldest(records: DataFrame, n: int, id_col: str = "id", count: str = "access
     return out, records.join(out.select(id_col), id_col, "left_anti")
 
 
-def knn_join(queries: DataFrame, records: DataFrame, k: int, metric: str = "cosine", vector: str = "vector", id_col: str = "id") -> DataFrame:
-    """The k nearest records of each query (qid, q): qid, id, score, rank.
+def knn_join(queries: DataFrame, records: DataFrame, k: int, metric: str = "cosine", vector: str = "vector", id_col: str = "id", block: int = MAX_BATCH_NUMBERS) -> DataFrame:
+    """The k nearest records of each query (qid, q): qid, id, score, rank. Queries without a vector have none.
 
-    The query batch is checked to be small and goes to every task as a matrix; a task keeps k candidates a query, by matrix products over its
-    batches; candidates meet by query in a window that Spark limits before the shuffle. Larger query sets are to be split by the caller.
+    Queries go to the tasks as matrices of at most block numbers, as many as they need, each with a pass over the records; a task keeps k
+    candidates a query, by matrix products over its batches; candidates meet by query in a window that Spark limits before the shuffle.
     """
-    found = queries.select("qid", V.doubles(F.col("q")).alias("q")).limit(MAX_BATCH_NUMBERS // max(1, k) + 1).collect()
-    if sum(len(r["q"]) for r in found) > MAX_BATCH_NUMBERS:
-        raise ValueError(f"the query batch has over {MAX_BATCH_NUMBERS} numbers; split it")
     qid_type = queries.schema["qid"].dataType
     schema = T.StructType([T.StructField("qid", qid_type), T.StructField("id", records.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
-    if not found:
+    own = records.where(F.col(vector).isNotNull()).select(F.col(id_col), F.col(vector))
+    best = None
+    for qids, q in _query_blocks(queries, block):
+        part = own.mapInArrow(_nearest_task(qids, q, k, metric), schema)
+        best = part if best is None else best.unionByName(part)
+    if best is None:
         return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    q = np.array([r["q"] for r in found], float)
-    qids = np.array([r["qid"] for r in found])
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9), "id"))).where(F.col("rank") <= k)
+
+
+def _query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All queries as (qids, matrix) of at most block numbers each, one query at least."""
+    qids, q, numbers = [], [], 0
+    for r in queries.where(F.col("q").isNotNull()).select("qid", V.doubles(F.col("q")).alias("q")).toLocalIterator():
+        if q and numbers + len(r["q"]) > block:
+            yield np.array(qids), np.array(q)
+            qids, q, numbers = [], [], 0
+        qids.append(r["qid"])
+        q.append(np.array(r["q"], float))
+        numbers += len(r["q"])
+    if q:
+        yield np.array(qids), np.array(q)
+
+
+def _nearest_task(qids: np.ndarray, q: np.ndarray, k: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (id, vector): the k best of a task for each query."""
+
+    def distances(some: np.ndarray, part: np.ndarray) -> np.ndarray:
+        if metric == "euclidean":
+            return np.sqrt(np.maximum(0.0, (some**2).sum(1)[:, None] + (part**2).sum(1)[None, :] - 2 * some @ part.T))
+        d = 1 - some @ part.T
+        if metric == "cosine_full":
+            lengths = np.linalg.norm(some, axis=1)[:, None] * np.linalg.norm(part, axis=1)[None, :]
+            d = np.where(lengths > 0, 1 - (1 - d) / np.where(lengths > 0, lengths, 1), 1.0)
+        return d
 
     def task(batches):
-        kept_score, kept_id = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
+        kept = {}  # by first query: query, score, id of the best so far, by query
         for b in batches:
             n = b.num_rows
             if not n:
@@ -103,25 +131,28 @@ def knn_join(queries: DataFrame, records: DataFrame, k: int, metric: str = "cosi
             if m.shape[1] != q.shape[1]:
                 raise ValueError(f"records have {m.shape[1]} dimensions, queries {q.shape[1]}")
             ids = np.asarray(b.column(0))
-            for at in range(0, n, 4096):
-                part = m[at : at + 4096]
-                if metric == "euclidean":
-                    d = np.sqrt(np.maximum(0.0, (q**2).sum(1)[:, None] + (part**2).sum(1)[None, :] - 2 * q @ part.T))
-                else:
-                    d = 1 - q @ part.T
-                    if metric == "cosine_full":
-                        lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(part, axis=1)[None, :]
-                        d = np.where(lengths > 0, 1 - (1 - d) / np.where(lengths > 0, lengths, 1), 1.0)
-                score = np.concatenate((kept_score, d), 1)
-                who = np.concatenate((kept_id, np.broadcast_to(ids[at : at + 4096], d.shape)), 1)
-                order = np.lexsort((who, np.round(score, 9)), axis=1)[:, :k]
-                kept_score, kept_id = np.take_along_axis(score, order, 1), np.take_along_axis(who, order, 1)
-        n = kept_id.shape[1]
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(kept_id.ravel()), pa.array(kept_score.ravel())], names=["qid", "id", "score"])
-
-    best = records.where(F.col(vector).isNotNull()).select(F.col(id_col), F.col(vector)).mapInArrow(task, schema)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9), "id"))).where(F.col("rank") <= k)
+            for first in range(0, len(q), 1024):
+                some = q[first : first + 1024]
+                for at in range(0, n, 4096):
+                    part, names = m[at : at + 4096], ids[at : at + 4096]
+                    d = distances(some, part)
+                    who, score, name = kept.get(first, (np.zeros(0, np.int64), np.zeros(0), names[:0]))
+                    # what is farther than k others cannot stay; scores that round alike can
+                    limit = np.full(len(some), np.inf)
+                    full = np.bincount(who, minlength=len(some)) >= k
+                    limit[full] = score[np.searchsorted(who, np.flatnonzero(full)) + k - 1]
+                    if d.shape[1] >= k and not full.all():
+                        limit = np.where(full, limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+                    row, col = np.nonzero(~(d > limit[:, None] + 2e-9))
+                    who, score, name = np.concatenate((who, row)), np.concatenate((score, d[row, col])), np.concatenate((name, names[col]))
+                    order = np.lexsort((name, np.round(score, 9), who))
+                    who, score, name = who[order], score[order], name[order]
+                    stay = np.arange(len(who)) - np.searchsorted(who, who) < k
+                    kept[first] = who[stay], score[stay], name[stay]
+        for first, (who, score, name) in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array(qids[first + who]), pa.array(name), pa.array(score)], names=["qid", "id", "score"])
+
+    return task
 
 
 def shard_top_k(records: DataFrame, query: Column, k: int, shards: int = SHARDS, available: Sequence[int] | None = None, metric: str = "cosine", vector: str = "vector", id_col: str = "id") -> DataFrame:

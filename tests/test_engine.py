@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenvec import queries
 from lumenvec.functions import hashing
 from lumenvec.functions import vectors as V
 from lumenvec.operators import clusters, footprint, search, stats
@@ -249,3 +250,19 @@ def test_knn_join_equals_brute_force(spark):
         got = {(x["qid"], x["rank"]): x["id"] for x in search.knn_join(q, r, 3, metric).collect()}
         assert got == {(k, n + 1): int(i) for k in range(7) for n, i in enumerate(np.argsort(d[k], kind="stable")[:3])}
     assert search.knn_join(q.where("qid < 0"), r, 3).count() == 0
+
+
+def test_knn_join_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    m = np.round(rng.normal(size=(60, 4)), 1)
+    m[20:40] = m[3]  # equal scores go by id
+    r = rows(spark, [(i, v.tolist()) for i, v in enumerate(m)], "id long, vector array<double>")
+    q = rows(spark, [(i, v.tolist()) for i, v in enumerate(m)] + [(99, None)], "qid long, q array<double>")
+    want = {(i, n + 1): x for i in range(60) for n, x in enumerate(sorted(range(60), key=lambda j: (round(1 - float(m[i] @ m[j]), 9), j))[:6])}
+    for block in (1, 4 * 7, search.MAX_BATCH_NUMBERS):
+        assert {(x["qid"], x["rank"]): x["id"] for x in search.knn_join(q, r, 6, block=block).collect()} == want
+
+
+def test_all_hundredth_queries_are_searched(spark, sf):
+    got = queries.Q["knn_join_hundredth"](spark, sf).groupBy("qid").count().collect()
+    assert sorted(tuple(x) for x in got) == [(i, 5) for i in range(0, 500, 100)]
