@@ -1,10 +1,12 @@
-"""A table of clusters: nearest-centroid assignment, running means, splits, a hash tree, and searches that probe the nearest clusters only.
+"""A table of clusters: nearest-centroid assignment, running means, splits, a hash tree, and searches that probe the nearest clusters only, a fixed number or as many as the k-th distance needs.
 
 Clusters: cluster_id, centroid, n. Their number is bounded by max_clusters (checked), so they travel to the tasks; records never do.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,6 +117,39 @@ def probe(records: DataFrame, clusters: DataFrame, query: Column, k: int, probes
     return nearest(scored(records.where(F.col("cluster_id").isin(ids)), query, metric, vector), k)
 
 
+def with_radius(clusters: DataFrame, assigned: DataFrame, vector: str = "vector", max_clusters: int = MAX_CLUSTERS) -> DataFrame:
+    """clusters with radius, the largest Euclidean distance of a member (assigned: with cluster_id) from the centroid; null without members. Part of building an index."""
+    ids, cents = _matrix(clusters, max_clusters)
+    row = {int(c): k for k, c in enumerate(ids)}
+
+    @F.arrow_udf(T.DoubleType())
+    def away(cluster: pa.Array, batch: pa.Array) -> pa.Array:
+        out = np.array([np.linalg.norm(np.asarray(v, float) - cents[row[c]]) if v is not None and c in row else np.nan for c, v in zip(cluster.to_pylist(), batch.to_pylist(), strict=True)])
+        return pa.array(out, pa.float64(), mask=np.isnan(out))
+
+    far = assigned.select("cluster_id", away(F.col("cluster_id"), F.col(vector)).alias("r")).groupBy("cluster_id").agg(F.max("r").alias("radius"))
+    return clusters.join(far, "cluster_id", "left")
+
+
+def probe_safe(records: DataFrame, clusters: DataFrame, query: Sequence[float], k: int, probes: int = 1, vector: str = "vector", max_clusters: int = MAX_CLUSTERS) -> DataFrame:
+    """The k nearest of the records (with cluster_id) by cosine distance (1 - dot), all of them right: clusters carry radius (with_radius).
+
+    The nearest clusters give a k-th distance; a member's distance is at least 1 - query.centroid - |query| radius, so only clusters where
+    that is more are left out. Records of clusters that the table doesn't have are read too."""
+    ids, cents = _matrix(clusters, max_clusters)
+    if not len(ids):
+        return nearest(scored(records, V.literal(query), "cosine", vector), k)
+    q = np.array(query, float)
+    size = {r[0]: r[1] for r in clusters.where("radius is not null").select("cluster_id", "radius").collect()}
+    bound = np.array([1 - c @ q - np.linalg.norm(q) * size[int(i)] if int(i) in size else np.inf for i, c in zip(ids, cents, strict=True)])
+    first = ids[np.argsort(bound, kind="stable")[:probes]].tolist()
+    found = nearest(scored(records.where(F.col("cluster_id").isin(first)), V.literal(query), "cosine", vector), k).select("score").collect()
+    worst = found[-1][0] if len(found) == k else np.inf
+    far = ids[(bound > worst + 1e-6) & np.isfinite(bound)].tolist()
+    near = F.coalesce(~F.col("cluster_id").isin(far), F.lit(True)) if far else F.lit(True)
+    return nearest(scored(records.where(near), V.literal(query), "cosine", vector), k)
+
+
 def trained(spark: SparkSession, records: DataFrame, n: int, rounds: int = 5, sample: int = 20_000, vector: str = "vector", id_col: str = "id", seed: int = 1) -> DataFrame:
     """n clusters by k-means on a sample of at most sample records (the smallest hashes of ids), for probing."""
     rows = records.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.lit(seed), F.col(id_col))).limit(sample).select(F.col(vector).cast("array<double>").alias("v")).collect()

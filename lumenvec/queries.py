@@ -344,6 +344,20 @@ def _label_clusters(r: DataFrame) -> DataFrame:
 
 Q["cluster_probe_topk"] = lambda s, d: plain(clusters.probe(records(s, d).withColumn("cluster_id", F.col("label").cast("bigint")), _label_clusters(records(s, d)), V.literal(vector_of(s, d)), 10, 3))
 SQL["cluster_probe_topk"] = f"with {R_SQL}, {X_SQL}, {_LABELS}, t as (select id, {COS} as s from r where label in (select label from p)) select id, round(s, 6) + 0.0 as score from t order by s, id limit 10"
+
+
+def _index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Records with cluster_id, kept, and their clusters with radius."""
+    from .llm.common import written
+
+    r = records(s, d)
+    c = clusters.trained(s, r, 10)
+    assigned = written(clusters.assign(r, c), "assigned")
+    return assigned, written(clusters.with_radius(c, assigned), "clusters")
+
+
+Q["cluster_probe_safe_topk"] = lambda s, d: plain(clusters.probe_safe(*_index(s, d), vector_of(s, d), 10))
+SQL["cluster_probe_safe_topk"] = top_sql()
 Q["knn_join_batch"] = lambda s, d: search.knn_join(records(s, d).where("id < 50").select(F.col("id").alias("qid"), F.col("vector").alias("q")), records(s, d), 5).select("qid", "id", r6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
 SQL["knn_join_batch"] = "with t as (select a.vec_id as qid, b.vec_id as id, 1 - list_dot_product(a.embedding::double[], b.embedding::double[]) as s from embeddings a, embeddings b where a.vec_id < 50), n as (select *, row_number() over (partition by qid order by round(s, 9), id) as rank from t) select qid, id, round(s, 6) + 0.0 as score, rank from n where rank <= 5"
 Q["knn_join_hundredth"] = lambda s, d: search.knn_join(records(s, d).where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("q")), records(s, d), 5).select("qid", "id", r6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))

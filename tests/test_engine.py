@@ -266,3 +266,23 @@ def test_knn_join_in_blocks(spark):
 def test_all_hundredth_queries_are_searched(spark, sf):
     got = queries.Q["knn_join_hundredth"](spark, sf).groupBy("qid").count().collect()
     assert sorted(tuple(x) for x in got) == [(i, 5) for i in range(0, 500, 100)]
+
+
+def test_safe_probing_loses_nothing(spark, sf):
+    """Recall@10 against brute force on embeddings, whose labels have no cluster structure."""
+    assigned, c = queries._index(spark, sf)
+    m = {r["id"]: np.array(r["vector"], float) for r in assigned.select("id", "vector").collect()}
+    hits = 0
+    for i in range(0, 500, 100):
+        exact = sorted(m, key=lambda j: (1 - float(m[i] @ m[j]), j))[:10]
+        hits += len(set(exact) & {x["id"] for x in clusters.probe_safe(assigned, c, m[i].tolist(), 10).collect()})
+    assert hits == 50
+
+
+def test_safe_probing_leaves_out_far_clusters_only(spark):
+    c = rows(spark, [(0, [1.0, 0.0], 3, 0.1), (1, [0.0, 1.0], 2, 0.1), (2, [0.6, 0.6], 1, 0.9)], "cluster_id bigint, centroid array<double>, n bigint, radius double")
+    r = rows(spark, [(1, [1.0, 0.0], 0), (2, [0.9, 0.1], 0), (3, [0.0, 1.0], 1), (4, [0.99, 0.0], 2), (5, [0.95, 0.0], None), (6, [0.98, 0.0], 7)], "id long, vector array<double>, cluster_id bigint")
+    got = clusters.probe_safe(r, c, [1.0, 0.0], 2)
+    assert [x["id"] for x in got.collect()] == [1, 4]
+    assert [x["id"] for x in clusters.probe_safe(r, c, [1.0, 0.0], 4).collect()] == [1, 4, 6, 5]
+    assert [x["id"] for x in clusters.probe_safe(r, c, [1.0, 0.0], 9).collect()] == [1, 4, 6, 5, 2, 3]
