@@ -34,6 +34,17 @@ def test_near_duplicates(spark, sf, docs):
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == want
 
 
+def test_near_duplicates_from_80_percent(spark, sf):
+    words = [f"w{k}" for k in range(104)]
+    near = " ".join(words[:94] + [f"z{k}" for k in range(11)])  # 90 shingles of 100 and 101 in common: 0.81
+    apart = " ".join(words[:92] + [f"y{k}" for k in range(13)])  # 88 in common: 0.78 with the first
+    texts = [(1, " ".join(words)), (2, near), (3, apart)]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i for i, (_, c) in brute(texts, percent=80).items() if i == c}
+    assert want == {1, 3} and {i for i, (_, c) in brute(texts).items() if i == c} == {1, 2, 3}
+    assert {r["doc_id"] for r in STAGE["near_duplicates"](spark, df, sf).collect()} == want
+
+
 def test_personal_data(spark, sf, docs):
     out = STAGE["personal_data"](spark, docs, sf)
     assert out.schema == docs.schema
