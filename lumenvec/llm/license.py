@@ -1,6 +1,6 @@
 """Licence scans: a trained paragraph classifier, in DataFrame functions and Spark's own learning library only.
 
-Paragraphs (lines; windows of words around a cue in long lines) that contain a licence cue are candidates. Their words, and the pairs
+Paragraphs (lines; windows of words around every cue in long lines) that contain a licence cue are candidates. Their words, and the pairs
 and triples of neighbours, are hashed into a sparse vector; multinomial logistic regression gives the probability of each licence
 family and of `unknown`. A paragraph is a licence notice if the best family is not `unknown`, its probability reaches the
 calibrated threshold, and the comparison with that family's templates confirms it: enough of its word pairs,
@@ -88,6 +88,7 @@ ORDINARY = (
     "This license expired in 2019 and the copy was returned.", "An attribution error is common in public debates about copyright.", "The domain name was released to the public with a license key.", "Please enter the license key of your copy of the software.",
 )
 CUE = r"(?i)licen[sc]|copyright|\bspdx|redistribut|permission|public domain|general public|creative commons|warrant"
+CUE_OF_TWO = r"(?i)public domain|general public|creative commons"
 UNKNOWN, DIMENSIONS, VARIANTS, WINDOW = "unknown", 1 << 14, 100, 12
 
 
@@ -148,18 +149,29 @@ def trained(spark: SparkSession, seed: int = 3, min_precision: float = 0.99) ->
 
 
 def paragraphs(text: Column) -> Column:
-    """The candidates of a text: lines with a cue, or windows of words around the cues of long lines."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE))
-    near = rf"(?:\S+\s+){{0,{WINDOW}}}?\S*(?:{CUE[4:]})\S*(?:\s+\S+){{0,{WINDOW}}}"
-    long_ = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > 600, F.regexp_extract_all(x, F.lit("(?i)" + near), F.lit(0))).otherwise(F.array(x))))
-    return F.when(text.rlike(CUE), long_).otherwise(F.array().cast("array<string>"))
+    """The candidates of a text (line, at, text): lines with a cue, or windows of words around every cue of long lines, at the cue's word. Windows may overlap."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, n: F.struct(n.alias("line"), x.alias("text"))), lambda x: x["text"].rlike(CUE))
+
+    def windows(line: Column, words: Column) -> Column:
+        two = lambda i: F.concat_ws(" ", F.slice(words, i + 1, F.lit(2)))
+        cued = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).rlike(CUE) | two(i).rlike(CUE_OF_TWO))
+        around = lambda i: F.concat_ws(" ", F.slice(words, F.greatest(i - WINDOW, F.lit(0)) + 1, F.least(i, F.lit(WINDOW)) + WINDOW + 1))
+        return F.transform(cued, lambda i: F.struct(line.alias("line"), i.alias("at"), around(i).alias("text")))
+
+    # an array of one binds the words, so that they are split once
+    long_ = lambda x: F.flatten(F.transform(F.array(F.split(x["text"], r"\s+")), lambda words: windows(x["line"], words)))
+    found = F.flatten(F.transform(lines, lambda x: F.when(F.length(x["text"]) > 600, long_(x)).otherwise(F.array(F.struct(x["line"].alias("line"), F.lit(0).alias("at"), x["text"].alias("text"))))))
+    return F.when(text.rlike(CUE), found).otherwise(F.array().cast("array<struct<line:int,at:int,text:string>>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confirm: float = 0.5) -> DataFrame:
-    """For each row: id, n_candidates, n_licenses, families (sorted, comma-joined; empty if none), score (of the surest notice, else 0)."""
+    """For each row: id, n_candidates, n_licenses, families (sorted, comma-joined; empty if none), score (of the surest notice, else 0).
+
+    Overlapping windows that show one family are one notice."""
     model, threshold = trained(docs.sparkSession)
     families = [UNKNOWN, *TEMPLATES]
-    rows = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), F.posexplode_outer(paragraphs(F.col(text_col))).alias("_n", "_paragraph"))
+    numbered = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("_row"))  # before the candidates, which would be numbered otherwise
+    rows = numbered.select(id_col, "_row", F.explode_outer(paragraphs(F.col(text_col))).alias("_p")).select(id_col, "_row", F.col("_p.line").alias("_line"), F.col("_p.at").alias("_at"), F.col("_p.text").alias("_paragraph"))
     probed = model.transform(featured(rows.withColumn("words", F.coalesce(tokens(F.col("_paragraph")), F.array().cast("array<string>")))))
     # the cue sits in the notice, so its neighbours are what the templates have to explain
     known = {k: sorted({" ".join(pair) for t in texts for w in [_plain_tokens(t)] for pair in zip(w, w[1:], strict=False)}) for k, texts in TEMPLATES.items()}
@@ -170,9 +182,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confir
     least = F.least(F.lit(3.0), F.greatest(F.lit(2.0), confirm * (F.size("words") - 1)))
     score = F.element_at(p, F.col("prediction").cast("int") + 1)
     sure = F.col("_paragraph").isNotNull() & (F.col("prediction") > 0) & (score >= threshold) & (shared >= least)
-    told = probed.select(id_col, "_row", F.col("_paragraph").isNotNull().alias("c"), F.when(sure, family).alias("f"), F.when(sure, score).alias("s"))
+    told = probed.select(id_col, "_row", F.col("_paragraph").isNotNull().alias("c"), F.when(sure, family).alias("f"), F.when(sure, F.struct(family.alias("f"), F.col("_line").alias("line"), F.col("_at").alias("at"))).alias("w"), F.when(sure, score).alias("s"))
+    first = lambda w: F.filter(w, lambda x, i: (i == 0) | (x["f"] != F.get(w, i - 1)["f"]) | (x["line"] != F.get(w, i - 1)["line"]) | (x["at"] - F.get(w, i - 1)["at"] > 2 * WINDOW))
+    notices = F.element_at(F.transform(F.array(F.sort_array(F.collect_list("w"))), lambda w: F.size(first(w))), 1)
     return told.groupBy("_row", id_col).agg(
-        F.count(F.when(F.col("c"), 1)).alias("n_candidates"), F.count("f").alias("n_licenses"), F.concat_ws(",", F.sort_array(F.collect_set("f"))).alias("families"), F.coalesce(F.max("s"), F.lit(0.0)).alias("score")
+        F.count(F.when(F.col("c"), 1)).alias("n_candidates"), notices.cast("long").alias("n_licenses"), F.concat_ws(",", F.sort_array(F.collect_set("f"))).alias("families"), F.coalesce(F.max("s"), F.lit(0.0)).alias("score")
     ).drop("_row")
 
 

@@ -54,3 +54,19 @@ def test_tables(spark):
     assert lic.scan(df.limit(0)).collect() == []
     text = lic.scan(df)._jdf.queryExecution().toString()
     assert not any(x in text for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_notices_after_other_cues_in_one_long_line(spark):
+    prose = " ".join(("the", "ander", "ing", "ofthe", "ration") * 60)
+    owner = "Copyright 2020 The Foo Authors and contributors. All rights reserved."
+    texts = [f"{prose} {owner} {n} {prose}" for n in FAMILY] + [f"{prose} {owner[:-21]} {n} {prose}" for n in FAMILY]
+    got = scanned(spark, texts + [f"{prose} Released under the MIT License. {prose} Released under the MIT License. {prose}"])
+    for k in range(len(texts)):
+        assert (got[k]["families"], got[k]["n_licenses"]) == (list(FAMILY.values())[k % 4], 1), texts[k][len(prose) : -len(prose)]
+    assert (got[8]["families"], got[8]["n_licenses"]) == ("mit", 2)
+
+
+def test_one_row_for_a_document_of_several_candidates(spark):
+    df = spark.createDataFrame([(1, "\n".join(FAMILY)), (1, "\n".join(FAMILY))], "doc_id long, text string")
+    got = lic.scan(df).collect()
+    assert [(r["n_candidates"], r["n_licenses"], r["families"]) for r in got] == [(4, 4, ",".join(sorted(FAMILY.values())))] * 2
