@@ -19,6 +19,7 @@ from .plans.compile import Sources, compiled
 from .plans.nodes import BiasFilter
 from .plans.planner import Settings, dimension_of, plan
 from .session import Engine
+from .shared import written
 from .sources import store
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -348,8 +349,6 @@ SQL["cluster_probe_topk"] = f"with {R_SQL}, {X_SQL}, {_LABELS}, t as (select id,
 
 def _index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Records with cluster_id, kept, and their clusters with radius."""
-    from .llm.common import written
-
     r = records(s, d)
     c = clusters.trained(s, r, 10)
     assigned = written(clusters.assign(r, c), "assigned")
