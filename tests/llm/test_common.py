@@ -1,17 +1,6 @@
-from types import SimpleNamespace
-
 from lumenvec.llm import common
 
 
-def test_shared_dir(spark):
-    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
-    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(applicationId="app-1"))
-    first = common.shared_dir(bare)
-    assert first.startswith("file:///") and common.shared_dir(bare) == first
-
-
-def test_written_keeps_schema_and_rows(spark):
-    df = spark.createDataFrame([(1, "a"), (None, None)], "id long, t string")
-    out = common.written(df, "x")
-    assert out.schema == df.schema and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
-    assert common.written(df.limit(0), "x").collect() == []
+def test_unused(spark):
+    df = spark.createDataFrame([(1, 2)], "_row int, _ROW_ int")
+    assert common.unused(df, "_row", "x", "x") == ["__row", "x", "_x"]
