@@ -9,8 +9,10 @@ min_precision on the part of the examples that the trees didn't see.
 Every pattern is linear in the text: unbounded runs are possessive or found from their one fixed character, and the
 generators have bounded runs. Work is row by row, without a shuffle.
 
-Defined cases: a null text counts as empty and has no span (redaction leaves null as it is); repeated rows get equal
-results; columns other than the id and the text are carried or left out, never read.
+Defined cases: a null text counts as empty and has no span (redaction leaves null as it is); an empty text has none either; a very long text
+is searched whole, in time in proportion to its length, whatever its runs of digits or letters; of candidates with equal scores the first in the text, then by kind, wins;
+repeated rows get equal results; a null id stays null; an empty table gives no rows; columns other than the id and the text are carried or
+left out, never read, so their names may be any.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, spark_struct
+from .common import arrow_rows, spark_struct, unused
 
 KINDS = ("email", "ip", "card", "phone")
-FIELDS = {"n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string", "n_added": "bigint"}
+FIELDS = {"n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string", "n_spans": "bigint", "n_added": "bigint"}
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
 _domain = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -59,7 +61,7 @@ def base_spans(text: str) -> list[Span]:
             out.append((start, 0, end))
     if any(x in text for x in "0123456789"):
         for m in _ip.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in _digits(m[0])):
+            if all(len(x) <= 3 and int(x or "0") <= 255 for x in (part.lstrip("0") for part in _digits(m[0]))):
                 out.append((m.start(), 1, m.end()))
         for m in _card.finditer(text):
             if 14 <= m.end() - m.start() <= 37 and 14 <= len(d := "".join(_digits(m[0]))) <= 19 and luhn(d):
@@ -240,10 +242,10 @@ def joined(spans: list[Span]) -> str:
 
 
 def report(text: str | None, forest: Forest) -> tuple:
-    """The values of FIELDS: counts and checksum of the base spans, all spans, and how many were added."""
+    """The values of FIELDS: counts and checksum of the base spans, all spans, how many these are, and how many were added."""
     base, added = find(text or "", forest)
     counts = [sum(k == n for _, k, _ in base) for n in range(len(KINDS))]
-    return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + added)), len(added))
+    return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + added)), len(base) + len(added), len(added))
 
 
 def redact(text: str, forest: Forest) -> str:
@@ -268,7 +270,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for texts in batches:
             yield arrow_rows(FIELDS, [report(t.as_py(), forest) for t in texts])
 
-    return docs.select(F.col(id_col), udf(F.col(text_col)).alias("_f")).select(id_col, "_f.*")
+    (found,) = unused(docs, "_found")
+    return docs.select(F.col(id_col), udf(F.col(text_col)).alias(found)).select(id_col, f"{found}.*")
 
 
 def redacted(text: Column) -> Column:

@@ -1,7 +1,9 @@
 import pickle
+import re
 import zlib
 
 import pytest
+import zstandard
 
 from lumenvec.llm import langid
 
@@ -20,9 +22,63 @@ def model():
     return langid.Model({"en": b"the and of to in that is was for with " * 40, "de": b"der die und von mit das ist ein nicht auf " * 40})
 
 
+def plain(dictionaries, text):
+    """Best language and margin, from every dictionary anew."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    if not any(c.isalpha() for w in words for c in w):
+        return "und", True
+    data = " ".join(words).encode()
+    for level, head in ((5, b""), (12, langid._FILLER)):
+        size = {}
+        for lang, content in dictionaries.items():
+            c = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content + head, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            size[lang] = sum(len(c.compress(head + data[at : at + 1024])) for at in range(0, len(data), 1024))
+        (best, _, lang), (second, _, _) = sorted((n, k, lang) for k, (lang, n) in enumerate(size.items()))[:2]
+        if second - best >= 0.004 * second:
+            return lang, False
+    return lang, True
+
+
+def test_against_a_plain_version(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = langid.fit(docs)
+    texts = [r["text"] for r in docs.collect()] + ["Edstou reinan ed for.", "This.", "Re.", "é", "x 1"]
+    assert all(m.predict(t)[::2] == plain(m.dictionaries, t or "") for t in texts)
+
+
+def test_ties():
+    m = langid.Model({"b": b"alpha beta gamma " * 9, "a": b"alpha beta gamma " * 9})
+    assert m.predict("alpha beta gamma") == ("b", 0.0, True)  # the first: the one with more rows
+
+
+def test_the_sample_is_spread_over_texts_and_rows():
+    assert langid.spread(bytes(range(100)), 8) == b" ".join((b"\0\1", bytes((32, 33)), bytes((65, 66)), bytes((98, 99))))
+    out = langid.shared_out([b"a" * 1000, b"b" * 10, b"c" * 1000], 210)
+    assert abs(out.count(b"a") - 97) <= 4 and out.count(b"b") == 10 and abs(out.count(b"c") - 97) <= 7
+
+
+def test_a_long_text_is_sampled_over_its_whole(spark):
+    df = spark.createDataFrame([(k, "first " * 2000 + "middle " * 2000 + "last " * 2000, "en") for k in range(10)], "doc_id long, text string, lang string")
+    words = langid.fit(df).dictionaries["en"]
+    assert b"first" in words and b"middle" in words and b"last" in words
+
+
+def test_languages_are_bounded(spark):
+    df = spark.range(511).selectExpr("id as doc_id", "'the cat' as text", "concat('l', cast(log2(id + 1) as int)) as lang")
+    assert set(langid.fit(df, max_langs=3).dictionaries) == {"l8", "l7", "l6"}
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "the and of to in that is was for with", "en", "x", True)], "held_out long, text string, lang string, _found string, rejected boolean")
+    out = langid.keep_identified(df, model())
+    assert out.columns == df.columns and out.collect() == df.collect()
+    assert langid.identify(df, id_col="held_out").columns == ["held_out", "_held_out", "lang_pred", "score", "rejected"]
+
+
 def test_cases():
     m = model()
-    assert m.predict("the cat is with that")[0] == "en" and m.predict("DER HUND!! IST!! NICHT!!")[0] == "de"
+    assert m.predict("the cat is with that")[0] == "en" and m.predict("DER HUND!! UND DIE VON!! MIT DAS IST EIN NICHT!!")[0] == "de"
+    assert m.predict("DER HUND!! IST!! NICHT!!")[2]  # as many bytes with either dictionary
     for text in (None, "", "123 ... \n", "²³"):
         assert m.predict(text) == ("und", 0.0, True)
     assert m.predict("zzz qqq xxx")[2]  # nothing tells

@@ -35,6 +35,19 @@ def test_base_spans_of_documents(spark, sf):
         assert pii.base_spans(r["text"] or "") == brute(r["text"] or "")
 
 
+def test_long_runs_of_zeros():
+    for text in ("ip " + "0" * 5000 + ".1.1.1 x", "1.0000000255.0.256", "0." * 5000, "1.2.3." + "0" * 9000, "+" + "0" * 6000):
+        assert pii.base_spans(text) == plain_spans(text)
+    assert pii.base_spans("ip " + "0" * 5000 + ".1.1.1") == [(3, 1, 5009)]
+
+
+def plain_spans(text):
+    """brute() with parts compared without leading zeros, as int() refuses thousands of digits."""
+    return [s for s in brute(re.sub("0{20,}", lambda m: "0" * 20, text))] if not re.search("0{20,}", text) else [
+        (m.start(), 1, m.end()) for m in re.finditer(PATTERNS[1], text) if all(len(x.lstrip("0")) <= 3 and (not x.lstrip("0") or int(x.lstrip("0")) <= 255) for x in re.findall("[0-9]+", m[0]))
+    ]
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
@@ -79,5 +92,8 @@ def test_table(spark):
     got = {r["doc_id"]: r for r in pii.detect(df).collect()}
     assert got[1]["n_email"] == 1 and got[1]["base_sha256"] == hashlib.sha256(b"email:5:11").hexdigest() and got[1]["spans"] == "email:5:11"
     assert got[2]["base_sha256"] == got[3]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[2]["spans"] == ""
+    assert got[1]["n_spans"] == 1 and got[None]["n_spans"] == 0
+    clash = df.withColumnRenamed("spans", "_found")
+    assert pii.detect(clash).columns == pii.detect(df).columns
     assert pii.detect(df).count() == 5 and pii.detect(df.limit(0)).collect() == []
     assert [r[0] for r in df.where("doc_id < 3").orderBy("doc_id").select(pii.redacted(df["text"])).collect()] == ["mail [EMAIL]", None]
