@@ -1,8 +1,10 @@
 import hashlib
+import re
 
 import pytest
 import zstandard
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from lumenvec.llm import warc
 
@@ -51,14 +53,40 @@ def test_bundles_are_seekable_and_plain_zstandard(manifest):
         own = [r for r in rows if r["bundle"] == path]
         for r in own:
             assert warc.parse(reader.frame(r["frame"]), r["offset"])[0][1] == r["record_id"]
-        for r in {r["record_id"]: r for r in own}.values():
-            assert reader.record(r["record_id"])[0] == r["page_id"]
+        for r in own:
+            assert reader.record(r["record_id"])[:2] == (r["page_id"], r["record_id"])
+    assert len({r["record_id"] for r in rows}) == len(ROWS)  # though two ids are null and two equal
+
+
+def test_revisits_name_the_record_of_their_response(manifest):
+    by_id = {r["record_id"]: r for r in manifest.collect()}
+    for r in by_id.values():
+        store, name = fs.FileSystem.from_uri(r["bundle"])
+        data = warc.Reader(store, name).frame(r["frame"])[r["offset"] :][: r["length"]]
+        if b"WARC-Type: revisit" in data:
+            other = re.search(rb"WARC-Refers-To: (\S+)", data)[1].decode()
+            assert str(by_id[other]["page_id"]).encode() == re.search(rb"X-Refers-To-Page: (\d+)", data)[1]
+
+
+def test_hot_payloads_are_dropped_before_the_shuffle(spark):
+    df = spark.range(4000, numPartitions=4).selectExpr("(id * 7919) % 4000 as page_id", "'u' as url", "if(id % 3 = 0, repeat('hot', 1000), concat('p', id)) as html")
+    rows = df.select("page_id", F.monotonically_increasing_id().alias("row"), "url", F.encode("html", "utf-8").alias("payload"))
+    sifted = rows.mapInArrow(warc._sift(0), warc.spark_struct(warc._SIFTED))
+    assert sifted.where("size = 3000 and payload is not null").count() <= 4 * 20
+    got = warc.read(warc.write(df))
+    assert got.where("record_type = 'response'").count() == 4000 - 1334 + 1 and got.count() == 4000
+
+
+def test_reading_is_dealt_by_bytes(manifest):
+    assert warc.read(manifest, task_bytes=100_000).rdd.getNumPartitions() >= 6
 
 
 def test_fetch(spark, manifest):
-    wanted = spark.createDataFrame([(warc.record_id(2),), (warc.record_id(7),), (warc.record_id(99),)], "record_id string")
-    got = {r["page_id"]: r for r in warc.fetch(manifest, wanted).collect()}
-    assert set(got) == {2, 7} and got[2]["refers_to"] == 1 and bytes(got[7]["payload"]) == ("é" * 300000).encode()
+    ids = manifest.where("page_id in (2, 7, 8)").select("record_id")
+    got = warc.fetch(manifest, ids.unionByName(spark.createDataFrame([("<urn:uuid:none>",)], "record_id string"))).collect()
+    assert sorted(r["page_id"] for r in got) == [2, 7, 8, 8]
+    got = {r["page_id"]: r for r in got}
+    assert got[2]["refers_to"] == 1 and bytes(got[7]["payload"]) == ("é" * 300000).encode()
 
 
 def test_smaller_payloads_may_all_be_responses(pages):
@@ -72,7 +100,7 @@ def test_empty(spark, pages):
 
 
 def test_damage_is_noticed(manifest):
-    data = warc.record(1, "u", b"abc", "D", 3, None)
+    data = warc.record("<urn:uuid:x>", 1, "u", b"abc", "D", 3)
     with pytest.raises(ValueError):
         warc.parse(data[:-2])
     assert warc.parse(data)[0][6] == warc.base32_sha1(b"abc") and len(hashlib.sha1(b"abc").digest()) == 20
