@@ -10,11 +10,13 @@ blocks, until one block is left for a source. There documents so large that no f
 decided first, with the others' probabilities scaled to the target, and after the flight a landing of at most LANDING
 undecided documents takes the decision that comes nearest to the target.
 
-What a task holds is one block. Only a row for each source is ordered in one place. Random numbers
+What a task holds is one block. Sources are ranked by ranges of their names, so there may be as many as documents. Random numbers
 come from the seed, the level and the block, and rows are ordered by a hash of the id, so runs agree.
 
-Defined cases: a null text has size 0, documents of size 0 are sampled but take no words; a null source is a source, the
-last one; rows with equal ids are separate documents; an empty table gives no rows; other columns are not read.
+Defined cases: a null or empty text has size 0, documents of size 0 are sampled but take no words; a very long text is a document so large that it is decided
+first; a null source is a source, the last one; a source without words has target 0; rows with equal ids, and those with null, are separate documents, told apart by their
+size and place in the table; of landings that come equally near the first in binary order is taken; an empty table gives no rows; columns other than the id, the text and the
+source are carried or left out, never read, so their names may be any.
 """
 
 from __future__ import annotations
@@ -29,19 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, written
+from .common import WORD, in_order, written
 
 LANDING = 12
-#: Tables with a row for each source are sent to all tasks up to so many rows, which is looked at first; beyond, sources meet their rows in a shuffled join.
-MAX_SENT = 50_000
+#: Tables with a row for each source are sent to all tasks up to so many bytes, which are summed first; beyond, sources meet their rows in a shuffled join.
+MAX_SENT = 8 << 20
 _EPS = 1e-9
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """A row for each source of sizes (source, size): source, rank, source_size, n, target. The weights go to the sources by code point, null last, and repeat."""
     grouped = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"), F.count("*").alias("n"))
-    ranked = grouped.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))  # one row a source
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1)
+    parted = in_order(grouped, F.col("source").asc_nulls_last())
+    before = parted.groupBy("_part").agg(F.count("*").alias("_m")).withColumn("_before", F.sum("_m").over(Window.orderBy("_part")) - F.col("_m"))  # one row a part
+    ranked = parted.join(before, "_part").withColumn("rank", F.col("_before") + F.col("_n")).select("source", "source_size", "n", "rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
     rows = written(ranked.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")), "sources")
     total = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
     level, full = None, F.lit(False)
@@ -61,8 +65,10 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 
 
 def _few(rows: DataFrame) -> DataFrame:
-    """rows, to be sent to all tasks if they are few."""
-    return F.broadcast(rows) if rows.limit(MAX_SENT + 1).count() <= MAX_SENT else rows
+    """rows of a written table, to be sent to all tasks if their bytes are few."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in rows.dtypes if kind == "string"]
+    size = rows.agg(F.sum(sum(texts, F.lit(16 * len(rows.columns))))).first()[0] or 0
+    return F.broadcast(rows) if size <= MAX_SENT else rows
 
 
 def fly(p: np.ndarray, size: np.ndarray, rng: random.Random, stop: int = 2) -> None:
@@ -139,12 +145,12 @@ def land(p: np.ndarray, size: np.ndarray, goal: float) -> None:
 
 
 def sample(units: DataFrame, seed: int = 0, block_rows: int = 1000) -> DataFrame:
-    """units: id, source, rank, size, p and other columns. Decides every p to 0 or 1; p's sums by source stay, but for the landing."""
+    """units: id, row, source, rank, size, p and other columns. Decides every p to 0 or 1; p's sums by source stay, but for the landing."""
     schema, done, level = units.schema, None, 0
 
     def one(t: pa.Table) -> pa.Table:
         rank, block, blocks = (t[c][0].as_py() for c in ("rank", "_block", "_blocks"))
-        t = t.sort_by([("_h", "ascending"), ("id", "ascending"), ("size", "ascending")])
+        t = t.sort_by([(c, "ascending") for c in ("_h", "id", "size", "row")])
         p, size = t["p"].to_numpy().copy(), t["size"].to_numpy().astype(float)
         goal = float(p @ size)
         rng = random.Random(f"{seed} {level} {rank} {block}")
@@ -157,7 +163,7 @@ def sample(units: DataFrame, seed: int = 0, block_rows: int = 1000) -> DataFrame
 
     while True:
         blocks = written(units.groupBy("rank").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias("_blocks")), "blocks")
-        dealt = units.join(_few(blocks), "rank").withColumn("_h", F.xxhash64(F.lit(seed), F.col("id"))).withColumn("_block", F.pmod(F.xxhash64(F.lit(level), "_h"), F.col("_blocks")))
+        dealt = units.join(_few(blocks), "rank").withColumn("_h", F.xxhash64(F.lit(seed), "id", "size", F.when(F.col("id").isNull(), F.col("row")))).withColumn("_block", F.pmod(F.xxhash64(F.lit(level), "_h"), F.col("_blocks")))
         # one column: rows that the join has dealt by rank would otherwise stay together, a source in one task
         dealt = dealt.withColumn("_unit", F.concat_ws("/", "rank", "_block"))
         flown = written(dealt.groupBy("_unit").applyInArrow(one, schema), "flown")
@@ -170,26 +176,27 @@ def sample(units: DataFrame, seed: int = 0, block_rows: int = 1000) -> DataFrame
             return done
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
-    """For each row of docs: the id, source, size, source_size, target (of its source), copies and taken (copies times size)."""
+def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
+    """For each row of docs: id, source, row (its place in the table), size, source_size, target, copies."""
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size")), "sizes")
-    by = targets(sizes, weights, share, most)
+    place = F.monotonically_increasing_id().alias("row")
+    sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"), place), "sizes")
+    by = written(targets(sizes, weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = sizes.join(_few(by.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")), "inner")
     whole = F.floor(rate + 1e-12)
-    units = joined.select("id", "source", "rank", "size", "source_size", "target", whole.cast("long").alias("whole"), F.greatest(F.lit(0.0), rate - whole).alias("p"))
-    copies = F.col("whole") + F.round("p").cast("long")
-    return sample(units, seed).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    units = joined.select("id", "row", "source", "rank", "size", "source_size", "target", whole.cast("long").alias("whole"), F.greatest(F.lit(0.0), rate - whole).alias("p"))
+    return sample(units, seed).select("id", "source", "row", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("long")).alias("copies"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """For each row of docs: the id, source, size, source_size, target (of its source), copies and taken (copies times size)."""
+    how = _taken(docs, id_col, text_col, source_col, **options)
+    return how.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    keys = [F.col(f"_{c}") for c in ("id", "source", "size")]
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    left = docs.withColumns({"_id": F.col(id_col), "_source": F.col(source_col), "_size": words}).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(text_col))))
-    how = mix(docs, id_col, text_col, source_col, **options)
-    right = how.select(F.col(id_col).alias("r_id"), F.col(source_col).alias("r_source"), F.col("size").alias("r_size"), "copies").withColumn("r_n", F.row_number().over(Window.partitionBy("r_id", "r_source", "r_size").orderBy("copies")))
-    same = [F.col(f"_{c}").eqNullSafe(F.col(f"r_{c}")) for c in ("id", "source", "size", "n")]
-    found = left.join(right.where("copies > 0"), same)
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs. Rows meet their copies by their place in the table, which must be the same when it is read again."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    how = _taken(docs, id_col, text_col, source_col, **options).where("copies > 0").select("row", "copies")
+    return rows.join(how, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -6,17 +6,19 @@ holds whatever the input. Within a shard, packing works on the counts of each le
 filled exactly by one, two or three lengths whose sum is the gap, found in an index of single, pair and triple sums and
 consumed as often as the counts allow; what finds no exact complement goes to the open sequence that it fits best.
 
-The tokenizer drops white space and never joins text across it or across the bounds of its words, so the ids of a text are
+A tokenizer that drops white space and never joins text across it or across the bounds of its words has as ids of a text
 those of its words in turn, and words seen before come from a bounded cache. Texts in Latin letters are split into those words here; others
-at spaces only, which is as exact and leaves the rest to the tokenizer.
+at spaces only, which is as exact and leaves the rest to the tokenizer. Whether a tokenizer is of that kind is read from its file; any other gets whole texts.
 
-Defined cases: a null or empty text is one piece with the end id only; rows with equal ids are packed as
-separate documents; an empty table gives no rows; columns other than the id and the text are not read.
+Defined cases: a null or empty text is one piece with the end id only; a very long text is cut into pieces; rows with equal or null ids are packed as
+separate documents; of pieces with equal lengths the one with the smaller id is placed first; an empty table gives no rows; columns other than the id and the
+text are not read, so their names may be any.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import zlib
@@ -38,6 +40,14 @@ _LETTERS, _NUMBERS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc
 _words = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+").findall
 
 
+#: The settings with which the words below are the tokenizer's own.
+_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+
+
 class WordTokenizer:
     """Token ids of whole texts, as little-endian unsigned 32-bit integers."""
 
@@ -46,6 +56,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        self.by_words = {k: said.get(k) for k in _BY_WORDS} == _BY_WORDS
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -61,6 +74,8 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if not self.by_words:
+            return self.one(text)
         plain = _plain(text) and "<|" not in text  # which may begin a special token
         words = _words(text.lower()) if plain else text.replace("\n", " ").split(" ")
         if len(self.known) > CACHE_ENTRIES:
@@ -121,13 +136,14 @@ def complements(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     left = counts.astype(np.int64)
     out: list[tuple[tuple[int, ...], int]] = []
     some = left > 0
-    sums = np.zeros(capacity + 1, bool)  # which sums of two lengths there may be; kept too large, made anew when it misleads
+    pairs, triples = np.zeros(capacity + 1, bool), np.zeros(capacity + 1, bool)  # which sums of two and three lengths there may be; kept too large, made anew when they mislead
 
-    def index_pairs() -> None:
-        sums[:] = False
-        for x in np.flatnonzero(some):
-            if x:
-                sums[x:] |= some[: capacity + 1 - x]
+    def index_sums() -> None:
+        for sums, of in ((pairs, some), (triples, pairs)):
+            sums[:] = False
+            for x in np.flatnonzero(some):
+                if x:
+                    sums[x:] |= of[: capacity + 1 - x]
 
     def pair(gap: int, most: int) -> tuple[int, int] | None:
         """Two lengths, none above most, that sum to gap: the largest first."""
@@ -141,19 +157,28 @@ def complements(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     def fill(gap: int) -> tuple[int, ...] | None:
         if some[gap]:
             return (gap,)
-        if sums[gap] and (found := pair(gap, gap)):
+        if pairs[gap] and (found := pair(gap, gap)):
             return found
+        if not triples[gap]:
+            return None
         y = np.arange(1, gap - 1)
-        y = y[some[y] & sums[gap - y]]
+        y = y[some[y] & pairs[gap - y]]
         missed = 0
         for a in y[::-1]:
             if 3 * a < gap:
                 break  # the largest of three is a third at least
-            if (found := pair(int(gap - a), int(a))) and (found.count(a) < left[a]):
+            left[a] -= 1  # the other two are found among the rest
+            some[a] = left[a] > 0
+            found = pair(int(gap - a), int(a))
+            left[a] += 1
+            some[a] = True
+            if found:
                 return (int(a), *found)
             missed += 1
             if missed == 32:
-                index_pairs()
+                index_sums()
+                if not triples[gap]:
+                    return None
         return None
 
     def consume(lengths: tuple[int, ...]) -> bool:
@@ -165,7 +190,7 @@ def complements(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
             out.append((lengths, often))
         return often > 0
 
-    index_pairs()
+    index_sums()
     consume((capacity,))
     for a in range(capacity - 1, 0, -1):
         while left[a] > 0:

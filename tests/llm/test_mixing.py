@@ -82,6 +82,30 @@ def test_mixed_repeats_rows_and_keeps_columns(spark):
     assert out.count() == sum(copies.values())
 
 
+def test_clashing_names(spark):
+    """Columns that are named as the operator's own come out as they went in."""
+    names = "copies", "_id", "row", "doc", "size", "p", "rank", "_copy", "source_size", "target", "taken", "_size", "r_n"
+    df = spark.createDataFrame([(k, "w " * (k % 17 + 1), "a", *range(-7, -7 + len(names))) for k in range(200)], "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in names))
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and out.distinct().exceptAll(df).count() == 0 and {r["_id"] for r in out.collect()} == {-6}
+    assert sum(len(r["text"].split()) for r in out.collect()) == mixing.mix(df).agg({"taken": "sum"}).first()[0]
+
+
+def test_as_many_sources_as_documents(spark, monkeypatch):
+    """Sources beyond what may be sent to all tasks; ranks over several ranges."""
+    monkeypatch.setattr(mixing, "MAX_SENT", 100)
+    df = spark.range(600).selectExpr("id as doc_id", "repeat('w ', cast(id % 7 as int)) as text", "concat('http://', id) as source")
+    want = brute_targets({f"http://{k}": k % 7 for k in range(600)})
+    got = mixing.mix(df).collect()
+    assert len(got) == 600 and all(r["target"] == pytest.approx(want[r["source"]]) for r in got)
+
+
+def test_rows_without_id_are_spread(spark):
+    df = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'a b c' as text", "'s' as source")
+    got = mixing.mix(df).collect()
+    assert len(got) == 3000 and abs(sum(r["taken"] for r in got) - 1.5 * 9000) <= 3
+
+
 def test_levels(spark):
     df = spark.range(5000).selectExpr("id as doc_id", "repeat('w ', cast(id % 97 as int)) as text", "'s' as source")
     got = mixing.mix(df.unionByName(df.selectExpr("doc_id + 10000 as doc_id", "text", "'t' as source")), weights=(3, 1))

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -32,6 +33,19 @@ def test_ids_are_the_tokenizers(text):
     assert packing.WordTokenizer.of(PATH).encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        said = json.load(f)
+    said["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(said, f)
+    t, whole = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    assert not t.by_words and packing.WordTokenizer(PATH).by_words
+    for text in ("it's 12 words, don't", "é x\n\ny", ""):
+        assert t.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_special_tokens_and_cache(raw):
     t = packing.WordTokenizer(PATH)
     for text in ("a <|endoftext|> b", "x<|startoftext|>y don't", "word " * 50, "n" * 5000):
