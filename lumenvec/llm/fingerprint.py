@@ -4,14 +4,16 @@ A text is a weighted set: its words, each with its number of occurrences S. For
 values r and c and a uniform b come from one hash of the word; t = floor(ln S / r + b), and the word with the smallest
 ln c - r * (t - b + 1) is sampled together with t. The sample of two texts is equal with a probability that is their generalised
 Jaccard similarity, sum of least over sum of greatest weights; a fingerprint is the SAMPLES samples, five hexadecimal digits each.
+The gamma values are taken from GRID quantiles, so a sample costs a hash and two array reads.
 
-The gamma values are taken from GRID quantiles, so a sample costs a hash and two array reads. Everything happens in one
-partitioning: texts are dealt by bands of ids (quantiles of the ids, so bands are even), each band also gets the first
-document of the next lower one, and windows, words, weights and samples follow without another shuffle.
+The order of documents is found on rows without texts, dealt by ranges. Texts are shuffled once, by row, and each sends its beginning to the
+document before it, which alone needs it. Words, weights and samples follow in that partitioning without another shuffle: a word that a text and its
+edited text hold equally often is sampled once for both. There are as many partitions as the code points ask for.
 
-Defined cases: a null text counts as empty; a text without words has a fingerprint of dashes, like any other such text and unlike all
-others; rows with equal ids follow each other by a hash of the text; a null id comes after all others; the document after the last is the
-first, so a single document follows itself; an empty table gives no rows; columns other than the id and the text are not read.
+Defined cases: a null or empty text has no words; a text without words has a fingerprint of dashes, like any other such text and unlike all
+others; a very long one is a row of its partition, whose words are aggregated with spilling; rows with equal ids follow each other by a hash of the text, then
+by their place in the table (which must be the same when it is read again); a null id comes after all others, and such rows are dealt like others; the document after the last is the
+first, so a single document follows itself; an empty table gives no rows; columns other than the id and the text are not read, so their names may be any.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import in_order, written
+
 SAMPLES, DIGITS, GRID = 32, 5, 512
-MAX_BANDS = 4096  # a power of two
+#: Code points of own texts in a partition.
+PART_CHARS = 16 << 20
 _EMPTY = "-" * DIGITS
 
 
@@ -41,14 +46,13 @@ _R = [round(_gamma_quantile((k + 0.5) / GRID), 9) for k in range(GRID)]
 _LN_C = [round(math.log(x), 9) for x in _R]
 
 
-def _array(values: list, kind: str = "bigint") -> Column:
+def _array(values: list[float]) -> Column:
     """A constant array. It is folded when the plan is made; as one text it costs the planner three nodes."""
-    return F.split(F.lit(",".join("" if v is None else repr(v) for v in values)), ",").try_cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def _sample(k: int, term: Column, ln_weight: Column, r_grid: Column, c_grid: Column) -> Column:
-    """One word's bid for sample k: a long whose order is that of ln c - r * (t - b + 1), and whose last 20 bits tell word and t."""
-    h = F.xxhash64(term, F.lit(k))
+def _bid(h: Column, ln_weight: Column, r_grid: Column, c_grid: Column) -> Column:
+    """A word's bid for a sample by its hash: a long whose order is that of ln c - r * (t - b + 1), and whose last 20 bits tell word and t."""
     bits = int(math.log2(GRID))
     r = F.get(r_grid, h.bitwiseAND(F.lit(GRID - 1)).cast("int"))
     ln_c = F.get(c_grid, F.shiftrightunsigned(h, bits).bitwiseAND(F.lit(GRID - 1)).cast("int"))
@@ -65,49 +69,71 @@ def likeness(a: Column, b: Column) -> Column:
     return reduce(lambda x, y: x + y, equal) / F.lit(float(SAMPLES))
 
 
+def _words(text: Column) -> Column:
+    """Parts between white space, empty ones too."""
+    return F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " ")
+
+
+def _lowest(weighted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, s0, s1, ...: the lowest bids over rows (keys, term, ln)."""
+    r_grid, c_grid = _array(_R), _array(_LN_C)
+    hashed = weighted.select(*keys, "ln", *[F.xxhash64("term", F.lit(k)).alias(f"h{k}") for k in range(SAMPLES)])  # columns: a bid reads its hash several times
+    return hashed.groupBy(*keys).agg(*[F.min(_bid(F.col(f"h{k}"), F.col("ln"), r_grid, c_grid)).alias(f"s{k}") for k in range(SAMPLES)])
+
+
+def _digits(prefix: str = "s") -> Column:
+    """The fingerprint of the lowest bids in columns; dashes where these are null."""
+    return F.concat(*[F.coalesce(F.lower(F.lpad(F.hex(F.col(f"{prefix}{k}").bitwiseAND(F.lit(0xFFFFF))), DIGITS, "0")), F.lit(_EMPTY)) for k in range(SAMPLES)])
+
+
 def fingerprints(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """keys and fingerprint for each row; keys are unique. If rows are dealt by some of the keys, nothing is shuffled."""
-    spaced = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    words = rows.select(*keys, F.posexplode(F.split(spaced, " ")).alias("_p", "_w")).where("_p = 0 or _w <> ''")
-    weighted = words.select(*keys, F.when(F.col("_w") != "", F.xxhash64("_w")).alias("_term")).groupBy(*keys, "_term").agg(F.log(F.count("*").cast("double")).alias("_ln"))
-    bids = [F.min(F.when(F.col("_term").isNotNull(), _sample(k, F.col("_term"), F.col("_ln"), _array(_R, "double"), _array(_LN_C, "double")))).alias(f"_s{k}") for k in range(SAMPLES)]
-    digit = [F.coalesce(F.lower(F.lpad(F.hex(F.col(f"_s{k}").bitwiseAND(F.lit(0xFFFFF))), DIGITS, "0")), F.lit(_EMPTY)) for k in range(SAMPLES)]
-    return weighted.groupBy(*keys).agg(*bids).select(*keys, F.concat(*digit).alias("fingerprint"))
-
-
-def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band_rows: int = 1000) -> DataFrame:
-    """For each row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. See the contract in the README."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = rows.count()
-    bands = min(MAX_BANDS, 1 << max(0, math.ceil(math.log2(max(1, n / band_rows)))))
-    cuts = []
-    if bands > 1:
-        cuts = sorted(rows.agg(F.percentile_approx("id", [k / bands for k in range(1, bands)], 20 * bands).alias("q")).first()["q"] or [])
-    size = 1 << max(0, math.ceil(math.log2(len(cuts) + 1)))
-    cuts += [(1 << 63) - 1] * (size - 1 - len(cuts))
-    band = F.lit(0)
-    if size > 1:  # binary search
-        steps, grid = _array([1 << k for k in range(int(math.log2(size)) - 1, -1, -1)], "int"), _array(cuts)
-        band = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.element_at(grid, at + s) <= F.col("id"), at + s).otherwise(at))
-    banded = rows.withColumn("band", F.when(F.col("id").isNull(), 0).otherwise(band))
-    top = {r["band"]: r["top"] for r in banded.groupBy("band").agg(F.max("id").alias("top")).collect()}  # at most MAX_BANDS rows
-    order = sorted(top)
-    above = dict(zip(order, order[1:] + order[:1], strict=True))  # the band that a band's first document follows
-    tops, nexts = _array([top.get(k) for k in range(size)]), _array([above.get(k) for k in range(size)], "int")
-    first = F.col("id").eqNullSafe(F.get(tops, F.col("band")))
-    own, guard = F.struct(F.col("band").alias("band"), F.lit(0).alias("guard")), F.struct(F.get(nexts, F.col("band")).alias("band"), F.lit(1).alias("guard"))
-    dealt = banded.select("id", "text", F.explode(F.when(first, F.array(own, guard)).otherwise(F.array(own))).alias("at")).select("id", "text", "at.*")
-
-    turn = Window.partitionBy("band").orderBy("guard", F.col("id").desc_nulls_last(), F.xxhash64("text"))
-    chars = F.length("text")
-    half = F.floor(chars / 2).cast("int")
-    seen = dealt.select("band", "guard", "id", "text", F.row_number().over(turn).alias("place"), F.lead("text").over(turn).alias("after"))
-    edited = seen.select("band", "guard", "id", "place", "text", chars.cast("long").alias("n_chars"), F.concat(F.left("text", chars - half), F.left(F.coalesce("after", F.lit("")), half)).alias("edited"))
-    facts = edited.select("band", "guard", "id", "place", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    both = edited.select("band", "place", F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))))
-    made = fingerprints(both, ["band", "place", "which"], "t")
-    paired = made.groupBy("band", "place").agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    known = facts.join(paired, ["band", "place"]).withColumn("after", F.lead("fingerprint").over(Window.partitionBy("band").orderBy("place")))
-    return known.where("guard = 0").select(
+    """keys and fingerprint for each row; keys are unique. If rows are dealt by some of the keys, texts are not shuffled."""
+    words = rows.select(*keys, F.explode(_words(F.col(text_col))).alias("_w")).where("_w <> ''")
+    weighted = words.select(*keys, F.xxhash64("_w").alias("term")).groupBy(*keys, "term").agg(F.log(F.count("*").cast("double")).alias("ln"))
+    return rows.select(*keys).join(_lowest(weighted, keys), keys, "left").select(*keys, _digits().alias("fingerprint"))
+
+
+def _order(light: DataFrame) -> DataFrame:
+    """light: row, id, h, n. For each row: the row before it in descending order of id, and how many code points that one's edit takes; the first comes after the last."""
+    place = F.col("id").desc_nulls_last(), F.col("h"), F.col("row")
+    parted = in_order(light, *place)
+    half = F.floor(F.col("n") / 2).cast("int")
+    ends = parted.groupBy("_part").agg(F.max_by(F.struct("row", half.alias("half")), "_n").alias("end"))
+    by_part = Window.orderBy("_part")  # one row a part
+    last = F.last("end").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    turns = ends.withColumn("before", F.coalesce(F.lag("end").over(by_part), last)).select("_part", "before")
+    own = Window.partitionBy("_part").orderBy("_n")
+    found = parted.join(turns, "_part").withColumn("prev", F.coalesce(F.lag(F.struct("row", half.alias("half"))).over(own), F.col("before")))
+    return found.select("row", "id", F.col("prev.row").alias("prev"), F.col("prev.half").alias("take"), "n")
+
+
+def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+    """For each row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The edited text has the text's last half of code points replaced by the first as many of the next document, by descending id."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    order = written(_order(rows.select("row", "id", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n"))), "order")
+    parts = max(1, math.ceil((order.agg(F.sum("n")).first()[0] or 0) / part_chars))
+    dealt = rows.select("row", "text").repartition(parts, "row")  # the same columns wherever it is used, so that texts are shuffled once
+    turn = order.select("row", "id", "prev", "take").repartition(parts, "row")
+    # the smaller sides are hashed, so that no text is sorted
+    gifts = dealt.join(turn.hint("shuffle_hash"), "row").select(F.col("prev").alias("row"), F.expr("left(text, take)").alias("after")).repartition(parts, "row")
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = dealt.join(gifts.hint("shuffle_hash"), "row").select("row", "text", F.concat(F.left("text", F.length("text") - half), F.left("after", half)).alias("edited"))
+
+    texts = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))
+    words = edited.select("row", F.inline(texts)).select("row", "which", F.explode(_words(F.col("t"))).alias("w")).where("w <> ''")
+    counted = words.groupBy("row", F.xxhash64("w").alias("term")).agg(F.count(F.when(F.col("which") == 0, 1)).alias("m"), F.count(F.when(F.col("which") == 1, 1)).alias("e"))
+    side = lambda k, n: F.when(n > 0, F.struct(F.lit(k).alias("side"), F.log(n.cast("double")).alias("ln")))
+    m, e = F.col("m"), F.col("e")
+    sides = F.when(m == e, F.array(side(2, m))).otherwise(F.filter(F.array(side(0, m), side(1, e)), lambda x: x.isNotNull()))
+    lowest = _lowest(counted.select("row", "term", F.inline(sides)), ["row", "side"])
+    of = lambda k, other: F.min(F.when(F.col("side") != other, F.col(f"s{k}")))
+    both = lowest.groupBy("row").agg(*[of(k, 1).alias(f"a{k}") for k in range(SAMPLES)], *[of(k, 0).alias(f"b{k}") for k in range(SAMPLES)]).select("row", _digits("a").alias("fingerprint"), _digits("b").alias("edited_fingerprint"))
+
+    facts = edited.select("row", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    blank = F.lit(_EMPTY * SAMPLES)
+    made = facts.join(both, "row", "left").withColumns({c: F.coalesce(c, blank) for c in ("fingerprint", "edited_fingerprint")})
+    made = written(made.join(turn, "row").drop("take"), "made")
+    after = made.select(F.col("prev").alias("row"), F.col("fingerprint").alias("after"))
+    return made.join(after, "row").select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("after")).alias("near_next")
     )

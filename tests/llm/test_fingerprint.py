@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -51,11 +52,11 @@ def test_collision_rate_is_generalised_jaccard(spark):
     assert abs(error.mean()) < 0.02 and np.sqrt((error**2).mean()) < 0.11  # 32 samples: 0.088 at most, on average
 
 
-@pytest.mark.parametrize("band_rows", [1000, 7])
-def test_edits(spark, band_rows):
+@pytest.mark.parametrize("part_chars", [1 << 24, 2000])
+def test_edits(spark, part_chars):
     rows = [(k * 3, t) for k, t in enumerate(texts(60, 2))] + [(200, None), (201, ""), (202, "é" * 5000), (203, "one two"), (203, "one two"), (-5, "first of all")]
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, fingerprint string, n_chars int")
-    got = fp.edits(df, band_rows=band_rows).collect()
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, fingerprint string, row int")
+    got = fp.edits(df, part_chars=part_chars).collect()
     want = brute_edits(sorted(rows, key=lambda r: -r[0]))
     key = lambda i, n, s: (i, n, s)
     assert sorted(key(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == sorted(key(i, len(t), hashlib.sha256(e.encode()).hexdigest()) for i, t, _, e in want)
@@ -79,6 +80,22 @@ def test_small_tables(spark):
     assert {x["doc_id"] for x in two} == {1, None}
 
 
+def test_rows_without_id_are_dealt_like_others(spark):
+    df = spark.createDataFrame([(None, t) for t in texts(60, 9)], "doc_id long, text string")
+    got = fp.edits(df, part_chars=500)
+    assert got.count() == 60 and got.select("edited_sha256").distinct().count() == 60
+
+
+def test_against_sql(spark, sf):
+    """Every column of the contract but the fingerprints, by SQL."""
+    want = duckdb.execute(f"""
+        with d as (select doc_id, coalesce(text, '') as t from '{sf}/documents.parquet'),
+        n as (select *, coalesce(lead(t) over w, first_value(t) over w) as nxt, length(t) // 2 as half from d window w as (order by doc_id desc rows between unbounded preceding and unbounded following))
+        select doc_id, length(t), sha256(left(t, length(t) - half) || left(nxt, half)) from n order by doc_id""").fetchall()
+    got = fp.edits(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "n_chars", "edited_sha256").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want
+
+
 def test_native(spark):
     df = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     text = fp.edits(df)._jdf.queryExecution().toString()
