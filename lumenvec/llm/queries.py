@@ -52,25 +52,29 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _URL_SQL = f"""
-with u as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+with recursive u as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
 h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{string.ascii_uppercase}', '{string.ascii_lowercase}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
 r as (select *, case when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/' when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
   when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/' when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule from h),
 v as (select *, case rule when 'example.com/de/' then 'block' when 'net/' then 'block' when 'example.net/en/' then 'allow' when 'org/fr/' then 'allow' end as ruling from r),
 p as (select host, path, count(ruling) as labelled, count(*) filter (where ruling = 'block') as blocked from v group by host, path),
-s0 as (select *, string_split(regexp_replace(path, '^/', ''), '/') as raw from p),
-s1 as (select * exclude raw, list_transform(case when len(raw) > {urltree.MAX_DEPTH} then list_append(raw[1:{urltree.MAX_DEPTH}], '{{rest}}') else raw end,
-  lambda x: case when regexp_matches(x, '^[0-9a-fA-F-]{{16,}}$') then '{{h}}' else regexp_replace(x, '[0-9]+', '{{n}}', 'g') end) as seg from s0),
-n as (select *, unnest(range(len(seg))) as depth from s1),
-n2 as (select host, path, labelled, blocked, depth, seg[depth + 1] as segment, array_to_string(seg[1:depth], '/') as parent from n),
-c as (select host, depth, parent, segment, sum(labelled) as l, sum(blocked) as b from n2 group by all),
-f as (select *, count(*) over w as n, (sum(l) over w)::double as al, (sum(b) over w)::double as ab from c window w as (partition by host, depth, parent)),
-g as (select host, depth, parent, segment, case when n > {urltree.MAX_CHILDREN} then '{{*}}'
-  when n > 1 and l >= {urltree.MIN_LABELS} and (b * al - ab * l) * (b * al - ab * l) <= {urltree.CHI2}::double * ab * (al - ab) * l::double then '{{~}}' else segment end as label from f),
-t as (select n2.host, path, labelled, blocked, string_agg(label, '/' order by depth) as template from n2 join g using (host, depth, parent, segment) group by 1, 2, 3, 4),
-prior as (select coalesce(sum(blocked)::double / nullif(sum(labelled), 0), 0) as q from p),
-j as (select host, template, case when (sum(blocked)::double + {urltree.PRIOR_WEIGHT}::double * any_value(q)) / (sum(labelled)::double + {urltree.PRIOR_WEIGHT}::double) >= {urltree.PURITY}::double then 'block' else 'allow' end as learnt from t, prior group by 1, 2)
-select page_id, v.host, v.path, rule, t.template, coalesce(ruling, learnt) as verdict from v join t on v.host = t.host and v.path = t.path join j on j.host = t.host and j.template = t.template"""
+s0 as (select *, list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda x: case when regexp_matches(x, '^[0-9a-fA-F-]{{16,}}$') then '{{h}}' else regexp_replace(x, '[0-9]+', '{{n}}', 'g') end) as seg from p),
+t(host, path, labelled, blocked, seg, depth, node, above, next) as (
+  select host, path, labelled, blocked, seg, 0, '', (select coalesce(sum(blocked)::double / nullif(sum(labelled), 0), 0) from p), seg[1] from s0
+  union all
+  (with c as (select host, node, next, sum(labelled) as l, sum(blocked) as b from t where depth >= 0 group by all),
+  f as (select host, node, count(*) as branches, sum(l)::double as al, sum(b)::double as ab,
+      coalesce(sum(l) filter (where next is not null), 0)::double as cl, coalesce(sum(b) filter (where next is not null), 0)::double as cb,
+      count(*) filter (where next is not null and l >= {urltree.MIN_LABELS}) as known, count(*) filter (where next is not null and l < {urltree.MIN_LABELS}) as unknown from c group by host, node),
+  g as (select c.host, c.node, c.next, branches, al, ab, case when l < {urltree.MIN_LABELS} and unknown > {urltree.MAX_CHILDREN} then '{{*}}'
+        when l >= {urltree.MIN_LABELS} and known > 1 and (b * cl - cb * l) * (b * cl - cb * l) <= {urltree.CHI2}::double * cb * (cl - cb) * l::double then '{{~}}' else c.next end as label
+      from c join f on c.host = f.host and c.node = f.node)
+  select t.host, path, labelled, blocked, seg, case when t.next is null then -1 else depth + 1 end, case when t.next is null then t.node else t.node || '/' || label end,
+    case when branches > 1 then (ab + {urltree.PRIOR_WEIGHT}::double * above) / (al + {urltree.PRIOR_WEIGHT}::double) else above end, case when t.next is null then null else seg[depth + 2] end
+    from t join g on t.host = g.host and t.node = g.node and t.next is not distinct from g.next where depth >= 0)),
+done as (select host, path, labelled, blocked, substr(node, 2) as template, above from t where depth < 0),
+j as (select host, template, case when sum(labelled) >= {urltree.MIN_LABELS} and (sum(blocked)::double + {urltree.PRIOR_WEIGHT}::double * max(above)) / (sum(labelled)::double + {urltree.PRIOR_WEIGHT}::double) >= {urltree.PURITY}::double then 'block' else 'allow' end as learnt from done group by all)
+select page_id, v.host, v.path, rule, done.template, coalesce(ruling, learnt) as verdict from v join done on v.host = done.host and v.path = done.path join j on j.host = done.host and j.template = done.template"""
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
+import random
 import re
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lumenvec.llm import urltree
-from lumenvec.llm.queries import RULES
+from lumenvec.llm.queries import _URL_SQL, RULES
 
 
 def brute(url):
@@ -50,6 +53,62 @@ def test_many_children_become_a_wildcard(spark):
     assert {r["template"] for r in urltree.judge(df, []).collect()} == {"user/{*}/posts"}
 
 
+def judged(spark, urls, rules):
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return {urls[r["page_id"]]: r for r in urltree.judge(df, rules).collect()}
+
+
+def test_merged_branches_are_one_node_below(spark):
+    names = [chr(97 + k) * 3 for k in range(20)]
+    got = judged(spark, [f"http://h.com/{u}/post{u}{x}" for u in names for x in "xyz"], [])  # 3 children each, 60 of the merged node
+    assert {r["template"] for r in got.values()} == {"{*}/{*}"}
+    rules = [("block", "h.com", f"/{u}/spam") for u in names] + [("allow", "h.com", f"/{u}/news") for u in names]
+    got = judged(spark, [f"http://h.com/{u}/{x}" for u in [*names, "zzz"] for x in ("spam", "news", "post")], [r for r in rules if r[2][1:4] < "ttt"])
+    assert got["http://h.com/zzz/spam"]["rule"] is None and got["http://h.com/zzz/spam"]["template"] == "{*}/spam"  # labels of one each, pooled
+    assert [got[f"http://h.com/zzz/{x}"]["verdict"] for x in ("spam", "news", "post")] == ["block", "allow", "allow"]
+
+
+def test_children_that_differ_stay_apart_at_any_fan_out(spark):
+    names = [chr(97 + k) * 2 for k in range(20)]
+    urls = [f"http://e.com/{n}/{k}x" for n in ["de", *names] for k in range(30)] + [f"http://e.com/ok/{c}{k}" for c in "ab" for k in range(30)]
+    got = judged(spark, urls + ["http://e.com/de", "http://e.com/new/7x"], [("block", "e.com", "/de/"), ("allow", "e.com", "/ok/")])
+    assert got["http://e.com/de/3x"]["template"] == "de/{n}x" and got["http://e.com/aa/3x"]["template"] == "{*}/{n}x" == got["http://e.com/new/7x"]["template"]
+    assert {r["verdict"] for u, r in got.items() if "/de/" not in u} == {"allow"}
+    assert {r["verdict"] for u, r in got.items() if "/de/" in u} == {"block"}
+
+
+def test_smoothing_goes_to_the_node_above(spark):
+    """Six blocked of six in a host that is blocked else, and in one that is not."""
+    side = [f"http://{h}/a/{k}/x" for h in ("bad.com", "mixed.com") for k in range(6)] + [f"http://{h}/{c}/p{x}" for h in ("bad.com", "mixed.com") for c in "b" for x in range(100)]
+    urls = side + [f"http://bad.com/b/{chr(97 + k)}" for k in range(8)] + [f"http://mixed.com/b/{chr(97 + k)}" for k in range(8)] + ["http://bad.com/a/q", "http://mixed.com/a/q"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("block", "bad.com", "/b/"), ("allow", "mixed.com", "/b/")] + [("block", h, f"/a/{k}") for h in ("bad.com", "mixed.com") for k in range(6)]
+    placed = {(r["host"], r["path"]): r for r in urltree.templates(urltree.parsed(df, "page_id", "url").select("host", "path", F.lit(1).alias("labelled"), F.when(F.col("path").startswith("/a") | (F.col("host") == "bad.com"), 1).otherwise(0).alias("blocked"))).collect()}
+    assert placed[("bad.com", "/a/q")]["above"] > 0.9 > placed[("mixed.com", "/a/q")]["above"]
+    assert urltree.judge(df, rules).count() == len(urls)
+
+
+def test_nothing_is_cut_at_a_depth(spark):
+    deep = "/".join(f"s{chr(97 + k % 26)}" for k in range(300))
+    got = judged(spark, [f"http://d.com/{deep}/{x}" for x in ("left", "right/a", "right/b")], [])
+    assert {r["template"] for r in got.values()} == {f"{deep}/{x}" for x in ("left", "right/a", "right/b")}
+
+
+def test_against_sql(spark):
+    """The levels one by one, with window-free SQL, on urls that merge, part and end in many ways."""
+    rng = random.Random(4)
+    part = lambda: rng.choice(("de", "en", "a", "b", "c", f"{rng.randrange(99)}", "u" + "".join(rng.choice("abcdefgh") for _ in range(3)), ""))
+    urls = [f"http://{rng.choice(('w.example.com', 'x.org', 'y.example.net', 'z.example.com'))}/{'/'.join(part() for _ in range(rng.randrange(5)))}" for _ in range(3000)] + URLS
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate(urls)))
+    want = sorted(con.execute(f"select page_id, host, path, rule, template, verdict from ({_URL_SQL})").fetchall())
+    got = sorted(tuple(r) for r in urltree.judge(df, RULES).select("page_id", "host", "path", "rule", "template", "verdict").collect())
+    assert got == want
+    assert {"{*}", "{~}"} <= {x for r in got for x in r[4].split("/")}
+
+
 def test_native(spark, sf):
     df = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
     text = urltree.judge(df, RULES)._jdf.queryExecution().toString()
