@@ -1,21 +1,23 @@
 """Licence scans: a trained paragraph classifier, in DataFrame functions and Spark's own learning library only.
 
-Paragraphs (lines; windows of words around every cue in long lines) that contain a licence cue are candidates. Their words, and the pairs
-and triples of neighbours, are hashed into a sparse vector; multinomial logistic regression gives the probability of each licence
-family and of `unknown`. A paragraph is a licence notice if the best family is not `unknown`, its probability reaches the
-calibrated threshold, and the comparison with that family's templates confirms it: enough of its word pairs,
-near the cues, occur in them.
+The paragraphs that are judged are windows: in each line, every word that is a licence cue with WINDOW words on either side, as far as the line goes.
+Their words (of letters and digits, lower-cased), and the pairs and triples of neighbours, are hashed into a sparse vector; multinomial logistic regression gives the probability of each licence
+family and of `unknown`. A window shows a licence if the best family is not `unknown`, its probability reaches the
+calibrated threshold, and the comparison with that family's templates confirms it: of the word pairs of one template, as many as fit
+on one side of a cue, the share `confirm` must occur in the window, two pairs at least. Overlapping windows that show one family are one notice.
 
-The model is fitted on paragraphs made from the templates below (with bounds: VARIANTS a family) and on made paragraphs
+The model is fitted on windows of texts made from the templates below (with bounds: VARIANTS a family) and of made texts
 that speak of licences without being one; one in five is held out, and the threshold is the lowest at which the held-out
 precision is min_precision. So fitting costs the same for every corpus. Scanning is row by row; only the result is grouped, by row of the input.
 
-Defined cases: a null or empty text has no licence; repeated rows are scanned alike; texts in capitals or with symbols between words are
-compared by their letters and digits; an empty table gives no rows; columns other than the id and the text are not read.
+Defined cases: a null or empty text has no licence; a very long text, line or word is scanned whole, in time in proportion to its length; texts in capitals or with symbols between words are
+compared by their letters and digits; of families with equal probability the first in order is taken; repeated rows, and rows with equal or null ids, are scanned alike and give a row each; an empty table gives no rows; columns other
+than the id and the text are not read, so their names may be any.
 """
 
 from __future__ import annotations
 
+import json
 import random
 from functools import lru_cache
 
@@ -87,8 +89,10 @@ ORDINARY = (
     "The tower helicopter is an apache.", "He studied at MIT and then moved away.", "The gnu is an animal of the general savanna.", "You may obtain a license plate at the office under these terms.", "The work was published under the terms of the contract.",
     "This license expired in 2019 and the copy was returned.", "An attribution error is common in public debates about copyright.", "The domain name was released to the public with a license key.", "Please enter the license key of your copy of the software.",
 )
-CUE = r"(?i)licen[sc]|copyright|\bspdx|redistribut|permission|public domain|general public|creative commons|warrant"
-CUE_OF_TWO = r"(?i)public domain|general public|creative commons"
+#: A line with a cue; a word that is one; and the first words of two that are.
+CUE = r"(?i)licen[sc]|copyright|\bspdx|redistribut|permission|warrant|public[^\p{L}\p{N}]+domain|general[^\p{L}\p{N}]+public|creative[^\p{L}\p{N}]+commons"
+CUE_WORD = r"licen[sc]|copyright|^spdx|redistribut|permission|warrant"
+CUE_PAIRS = ("public domain", "general public", "creative commons")
 UNKNOWN, DIMENSIONS, VARIANTS, WINDOW = "unknown", 1 << 14, 100, 12
 
 
@@ -109,7 +113,7 @@ def featured(rows: DataFrame) -> DataFrame:
 
 
 def _made(seed: int) -> list[tuple[str, int, int]]:
-    """Paragraphs, their class (0: unknown), and whether held out, one in five."""
+    """Texts, their class (0: unknown), and whether held out, one in five."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("th", "an", "er", "on", "in", "re", "es", "ti", "le", "de", "que", "und", "ch")) for _ in range(rng.randint(1, 4)))
     noise = lambda n: " ".join(word() for _ in range(rng.randrange(n + 1)))
@@ -133,9 +137,10 @@ def _made(seed: int) -> list[tuple[str, int, int]]:
 @lru_cache(maxsize=4)
 def trained(spark: SparkSession, seed: int = 3, min_precision: float = 0.99) -> tuple[LogisticRegressionModel, float]:
     """The model, and the least probability at which a family is believed."""
-    made = _made(seed)
-    rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(float(k)).alias("label"), F.lit(h).alias("held")) for t, k, h in made])))
-    data = featured(rows.withColumn("words", tokens(F.col("t")))).select("label", "held", "features").coalesce(1).persist()
+    made = json.dumps([{"t": t, "label": k, "held": h} for t, k, h in _made(seed)])  # one literal: a plan of few nodes
+    rows = spark.range(1).select(F.inline(F.from_json(F.lit(made), "array<struct<t: string, label: double, held: int>>")))
+    windows = rows.select("label", "held", F.inline(candidates(F.col("t"))))
+    data = featured(windows).select("label", "held", "features").repartition(1).persist()
     model = LogisticRegression(family="multinomial", regParam=0.0001, maxIter=60).fit(data.where("held = 0"))
     scored = model.transform(data.where("held = 1")).select("label", "prediction", F.array_max(vector_to_array("probability")).alias("p")).where("prediction > 0").collect()
     data.unpersist()
@@ -148,46 +153,46 @@ def trained(spark: SparkSession, seed: int = 3, min_precision: float = 0.99) ->
     return model, max(0.3, min(threshold, 0.95))
 
 
-def paragraphs(text: Column) -> Column:
-    """The candidates of a text (line, at, text): lines with a cue, or windows of words around every cue of long lines, at the cue's word. Windows may overlap."""
+def candidates(text: Column) -> Column:
+    """The windows of a text (line, at, words): around every cue, at its place among the words of the line."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x, n: F.struct(n.alias("line"), x.alias("text"))), lambda x: x["text"].rlike(CUE))
 
     def windows(line: Column, words: Column) -> Column:
-        two = lambda i: F.concat_ws(" ", F.slice(words, i + 1, F.lit(2)))
-        cued = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).rlike(CUE) | two(i).rlike(CUE_OF_TWO))
-        around = lambda i: F.concat_ws(" ", F.slice(words, F.greatest(i - WINDOW, F.lit(0)) + 1, F.least(i, F.lit(WINDOW)) + WINDOW + 1))
-        return F.transform(cued, lambda i: F.struct(line.alias("line"), i.alias("at"), around(i).alias("text")))
+        pair = lambda i: F.get(words, i).isin([p.split()[0] for p in CUE_PAIRS]) & F.concat_ws(" ", F.slice(words, i + 1, F.lit(2))).isin(list(CUE_PAIRS))
+        cued = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).rlike(CUE_WORD) | pair(i))
+        around = lambda i: F.slice(words, F.greatest(i - WINDOW, F.lit(0)) + 1, F.least(i, F.lit(WINDOW)) + WINDOW + 1)
+        return F.transform(cued, lambda i: F.struct(line.alias("line"), i.alias("at"), around(i).alias("words")))
 
     # an array of one binds the words, so that they are split once
-    long_ = lambda x: F.flatten(F.transform(F.array(F.split(x["text"], r"\s+")), lambda words: windows(x["line"], words)))
-    found = F.flatten(F.transform(lines, lambda x: F.when(F.length(x["text"]) > 600, long_(x)).otherwise(F.array(F.struct(x["line"].alias("line"), F.lit(0).alias("at"), x["text"].alias("text"))))))
-    return F.when(text.rlike(CUE), found).otherwise(F.array().cast("array<struct<line:int,at:int,text:string>>"))
+    found = F.flatten(F.transform(lines, lambda x: F.flatten(F.transform(F.array(tokens(x["text"])), lambda words: windows(x["line"], words)))))
+    return F.when(text.rlike(CUE), found).otherwise(F.array().cast("array<struct<line:int,at:int,words:array<string>>>"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confirm: float = 0.5) -> DataFrame:
-    """For each row: id, n_candidates, n_licenses, families (sorted, comma-joined; empty if none), score (of the surest notice, else 0).
+def _template_pairs() -> Column:
+    """family: the word pairs of each of its templates."""
+    known = {k: [[" ".join(p) for p in zip(w, w[1:], strict=False)] for w in map(_plain_tokens, texts)] for k, texts in TEMPLATES.items()}
+    return F.from_json(F.lit(json.dumps(known)), "map<string, array<array<string>>>")
+
 
-    Overlapping windows that show one family are one notice."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confirm: float = 0.5) -> DataFrame:
+    """For each row: id, n_candidates, n_licenses, families (sorted, comma-joined; empty if none), score (of the surest notice, else 0)."""
     model, threshold = trained(docs.sparkSession)
     families = [UNKNOWN, *TEMPLATES]
-    numbered = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("_row"))  # before the candidates, which would be numbered otherwise
-    rows = numbered.select(id_col, "_row", F.explode_outer(paragraphs(F.col(text_col))).alias("_p")).select(id_col, "_row", F.col("_p.line").alias("_line"), F.col("_p.at").alias("_at"), F.col("_p.text").alias("_paragraph"))
-    probed = model.transform(featured(rows.withColumn("words", F.coalesce(tokens(F.col("_paragraph")), F.array().cast("array<string>")))))
-    # the cue sits in the notice, so its neighbours are what the templates have to explain
-    known = {k: sorted({" ".join(pair) for t in texts for w in [_plain_tokens(t)] for pair in zip(w, w[1:], strict=False)}) for k, texts in TEMPLATES.items()}
-    of = F.create_map(*[x for k, pairs in known.items() for x in (F.lit(k), F.split(F.lit("|".join(pairs)), r"\|"))])
+    numbered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))  # before the candidates, which would be numbered otherwise
+    rows = numbered.select("id", "row", F.explode_outer(candidates(F.col("text"))).alias("c")).select("id", "row", "c.*")
+    probed = model.transform(featured(rows.withColumn("shown", F.col("words").isNotNull()).withColumn("words", F.coalesce("words", F.array().cast("array<string>")))))
     p = vector_to_array("probability")
     family = F.element_at(F.split(F.lit(",".join(families)), ","), F.col("prediction").cast("int") + 1)
-    shared = F.size(F.array_intersect(grams(F.col("words"), 2), of[family]))
-    least = F.least(F.lit(3.0), F.greatest(F.lit(2.0), confirm * (F.size("words") - 1)))
+    own = grams(F.col("words"), 2)
+    covers = lambda t: F.size(F.array_intersect(t, own)) >= F.greatest(F.lit(2.0), F.lit(confirm) * F.least(F.size(F.array_distinct(t)), F.lit(WINDOW)))
     score = F.element_at(p, F.col("prediction").cast("int") + 1)
-    sure = F.col("_paragraph").isNotNull() & (F.col("prediction") > 0) & (score >= threshold) & (shared >= least)
-    told = probed.select(id_col, "_row", F.col("_paragraph").isNotNull().alias("c"), F.when(sure, family).alias("f"), F.when(sure, F.struct(family.alias("f"), F.col("_line").alias("line"), F.col("_at").alias("at"))).alias("w"), F.when(sure, score).alias("s"))
+    sure = F.col("shown") & (F.col("prediction") > 0) & (score >= threshold) & F.exists(_template_pairs()[family], covers)
+    told = probed.select("id", "row", "shown", F.when(sure, family).alias("f"), F.when(sure, F.struct(family.alias("f"), "line", "at")).alias("w"), F.when(sure, score).alias("s"))
     first = lambda w: F.filter(w, lambda x, i: (i == 0) | (x["f"] != F.get(w, i - 1)["f"]) | (x["line"] != F.get(w, i - 1)["line"]) | (x["at"] - F.get(w, i - 1)["at"] > 2 * WINDOW))
     notices = F.element_at(F.transform(F.array(F.sort_array(F.collect_list("w"))), lambda w: F.size(first(w))), 1)
-    return told.groupBy("_row", id_col).agg(
-        F.count(F.when(F.col("c"), 1)).alias("n_candidates"), notices.cast("long").alias("n_licenses"), F.concat_ws(",", F.sort_array(F.collect_set("f"))).alias("families"), F.coalesce(F.max("s"), F.lit(0.0)).alias("score")
-    ).drop("_row")
+    return told.groupBy("row", "id").agg(
+        F.count(F.when(F.col("shown"), 1)).alias("n_candidates"), notices.cast("long").alias("n_licenses"), F.concat_ws(",", F.sort_array(F.collect_set("f"))).alias("families"), F.coalesce(F.max("s"), F.lit(0.0)).alias("score")
+    ).drop("row").withColumnRenamed("id", id_col)
 
 
 def _plain_tokens(text: str) -> list[str]:
