@@ -14,9 +14,13 @@ its largest component are compared with all others of other components, in block
 components leave a block. So what is written grows with the documents, however large a group of near copies is,
 and no link between components is missed.
 
-Defined cases: a text without words, or null, has no shingles and links with nothing; one with fewer words than a shingle has one
-shingle, its whole sequence; repeated rows are copies; a row without id joins the component of its copies, and is never
-kept; an empty table gives no rows; columns other than the id and the text are carried or left out, never read.
+A bucket of n documents of other components each is compared in blocks: its signatures are read about 2 n / block times, with blocks that grow with n.
+
+Defined cases: a text without words, empty, or null, has no shingles and links with nothing, so it is kept; one with fewer words than a shingle has one
+shingle, its whole sequence; a very long text is one set, whose minima are taken piece by piece; repeated rows are copies, of which deduplicated() leaves one; of documents as promising the pivot with the smaller id is
+compared first; rows with equal ids and other texts are one document to their links; a row without id joins the component of its copies and near copies like any other (its place in the table, which must be the same when it is read
+again, stands for the id, after all ids), and where none of these has an id, one row is kept and component_id is null; an empty table gives no rows; columns other than the id and the text
+are carried or left out, never read, so their names may be any.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import dropped, written
 
 BANDS, ROWS, BITS = 28, 4, 4
 PLACES = BANDS * ROWS
@@ -40,6 +44,8 @@ WORDS64 = PLACES * BITS // 64
 #: Estimates lower than the threshold by more than this are not confirmed: over five standard deviations.
 SLACK = 0.2
 BLOCK, SHARD_ROWS, SET_WEIGHT = 1024, 2000, 1500
+#: Stands for the id of rows without one, with their place in the table added: above all ids.
+NO_ID = 1 << 62
 
 _rng = np.random.default_rng(20240131)
 _A = _rng.integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -173,14 +179,16 @@ def least_places(threshold: float) -> int:
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for links (a, b): the smallest id reachable. Labels move along links, then to the label of the label."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("c")), "labels")
+    labels: DataFrame = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("c")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
         moved = labels.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         target = labels.select(F.col("id").alias("c"), F.col("c").alias("cc"))
         jumped = written(moved.join(target, "c").select("id", "old", F.least("c", "cc").alias("c")), "labels")
-        labels = jumped.select("id", "c")
+        dropped(labels)
+        labels = jumped
         if jumped.where("old <> c").isEmpty():
+            dropped(both)
             return labels.select("id", F.col("c").alias("component"))
 
 
@@ -271,15 +279,17 @@ def _links_across(t: pa.Table, least: int, percent: int) -> pa.Table:
     return _pairs(found)
 
 
-def _dealt(rows: DataFrame, groups: DataFrame, block: int, shard: int) -> DataFrame:
+def _dealt(rows: DataFrame, groups: DataFrame, block: int, shard: int, larger: int = 1) -> DataFrame:
     """Rows (key, rep, component, ...) of groups (key, all, most, main) in units of about block members by block strays at most, by weight, a few units to a shard.
 
-    Members are all rows of a group, strays those outside its main component."""
-    laid = rows.join(groups.select("key", "main", F.ceil(F.col("all") / block).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("ns")), "key")
+    Members are all rows of a group, strays those outside its main component. Blocks of large groups hold up to larger times as much, so that their rows are copied to fewer."""
+    size = F.greatest(F.lit(block), F.least(F.lit(larger * block), F.col("all") / 16))
+    parts = groups.select("key", "main", "all", "most", F.ceil(F.col("all") / size).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("most")) / size).cast("int").alias("ns"))
+    laid = rows.join(parts.drop("all", "most"), "key")
     h = F.xxhash64("rep")
     members = laid.select("*", F.lit(False).alias("stray"), F.pmod(h, F.col("nb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("j"))
     strays = laid.where("component <> main").select("*", F.lit(True).alias("stray"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod(h, F.col("ns")).cast("int").alias("j"))
-    n = groups.agg(F.sum("all")).first()[0] or 0
+    n = parts.agg(F.sum(F.col("all") * F.col("ns") + (F.col("all") - F.col("most")) * F.col("nb"))).first()[0] or 0  # with all copies
     return members.unionByName(strays).drop("main", "nb", "ns").withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n // shard + 1)))
 
 
@@ -289,11 +299,15 @@ def _mixed(rows: DataFrame, weight: Column) -> DataFrame:
     return parts.groupBy("key").agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("component", F.struct("m", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
-    """For each row of docs: the id, n_shingles, component_id and kept."""
+def _classified(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 85) -> DataFrame:
+    """For each row of docs: row (its place), id (or NO_ID and the place), n, component (an id of that kind), and whether it is the first row of its set."""
     least = least_places(percent / 100)
-    signed = written(docs.select(F.col(id_col).cast("long").alias("id"), _signatures(width)(F.col(text_col)).alias("s")).select("id", "s.*"), "signed")
-    reps = written(signed.where("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "reps")
+    place = F.monotonically_increasing_id()
+    rows = docs.select(place.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + place).alias("id"), F.col(text_col).alias("t"))
+    signed = written(rows.select("row", "id", _signatures(width)(F.col("t")).alias("s")).select("row", "id", "s.*"), "signed")
+    first = F.min(F.struct("id", "row"))
+    reps = signed.where("set is not null").groupBy("set").agg(first.alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
+    reps = written(reps.select("set", F.col("first.id").alias("rep"), F.col("first.row").alias("first"), "n", "bands", "sig"), "reps")
     # buckets of two and more, each with its smallest id
     buckets = reps.select("rep", F.explode("bands").alias("key"))
     pivots = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
@@ -310,7 +324,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     def full_sets(ends: DataFrame) -> DataFrame:
         """(rep, shingles) for the reps in ends, from the texts of just these documents."""
         own = ends.distinct().join(reps.select("rep", "set"), "rep").withColumnRenamed("set", "own")
-        texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).join(own, "rep")
+        texts = rows.select(F.col("id").alias("rep"), "t").join(own, "rep")
         # rows with equal ids may have other texts
         return texts.select("rep", "own", _sets(width)("t").alias("s")).where(F.col("own") == F.col("s.set")).select("rep", F.col("s.shingles").alias("shingles")).dropDuplicates(["rep"])
 
@@ -319,21 +333,24 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         full = written(full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep"))), "sets")
         joined = pairs.select("a", "b").join(full.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(full.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
         counted = joined.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), _common("sa", "sb").alias("common"))
-        return counted.where(100 * F.col("common") >= percent * (F.col("n") - F.col("common"))).select("a", "b")
+        links = written(counted.where(100 * F.col("common") >= percent * (F.col("n") - F.col("common"))).select("a", "b"), "links")
+        dropped(full)
+        return links
 
     # a is the pivot, the smaller one; b is compared with its most promising pivot
-    first = written(estimated(shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()), "pairs")
-    best = first.groupBy("b").agg(F.max_by("a", F.struct("places", -F.col("a"))).alias("a")).select("a", "b")
-    links = written(confirmed(best), "links")
+    near_pivots = written(estimated(shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()), "pairs")
+    best = near_pivots.groupBy("b").agg(F.max_by("a", F.struct("places", -F.col("a"))).alias("a")).select("a", "b")
+    links = confirmed(best)
     found = components(links)
 
     # what is left: components that promising pairs connect, in buckets of three and more or by another pivot
     of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     labelled = written(shared.select("key", "rep").join(of("rep"), "rep", "left").select("key", "rep", F.coalesce("crep", "rep").alias("component")), "labelled")
-    units = _dealt(labelled, _mixed(labelled, F.lit(1)).where("all > 2"), BLOCK, SHARD_ROWS).join(light, "rep")
+    units = _dealt(labelled, _mixed(labelled, F.lit(1)).where("all > 2"), BLOCK, SHARD_ROWS, larger=16).join(light, "rep")
     near = units.groupBy("shard").applyInArrow(lambda t: _near_components(t, least, percent), "a bigint, b bigint")
-    others = first.select("a", "b").join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    others = near_pivots.select("a", "b").join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
     edges = written(near.unionByName(others).distinct(), "near")
+    dropped(shared, near_pivots, labelled)
     if not edges.isEmpty():
         # every such pair lies in one family of components; in each, strays and members are compared with their full sets at hand
         family = components(edges).select(F.col("id").alias("component"), F.col("component").alias("key"))
@@ -344,14 +361,23 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         more = written(dealt.groupBy("shard").applyInArrow(lambda t: _links_across(t, least, percent), "a bigint, b bigint"), "links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
+        dropped(active, with_sets, more)
+    dropped(edges, links)
+
+    classes = reps.select("set", "first", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set", "first", F.coalesce("component", "rep").alias("component"))
+    out = signed.select("row", "id", "n", "set").join(classes, "set", "left")
+    alone = F.col("n") == 0
+    return out.select("row", "id", "n", F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"), (alone | (F.col("row") == F.col("first"))).alias("first"))
 
-    classes = reps.select("set", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "n", "set").join(classes, "set", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """For each row of docs: the id, n_shingles, component_id and kept."""
+    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return _classified(docs, id_col, text_col, **options).select(known("id").alias(id_col), F.col("n").alias("n_shingles"), known("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component, with the columns of docs; exact repeats of a row's id and text count once."""
-    kept = classify(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_kept"))
-    return docs.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col, text_col])
+    """One row of each component, with the columns of docs."""
+    kept = _classified(docs, id_col, text_col, **options).where((F.col("id") == F.col("component")) & F.col("first")).select("row")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")

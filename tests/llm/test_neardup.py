@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenvec.llm import neardup
 
@@ -93,7 +94,7 @@ def test_cases(spark):
     assert got[4] == (1, 4, True) and got[2] == (1, 2, True)  # only A-Z are lower-cased
     assert got[11][1] == got[10][1] == 10 and got[13][1] == got[12][1] == 12
     again = classes(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "other words here in this text")])
-    assert sorted(str((r["doc_id"], r["component_id"], r["kept"])) for r in again) == sorted(map(str, [(1, 1, True), (1, 1, True), (2, 1, False), (None, 1, False), (None, None, False)]))
+    assert sorted(str((r["doc_id"], r["component_id"], r["kept"])) for r in again) == sorted(map(str, [(1, 1, True), (1, 1, True), (2, 1, False), (None, 1, False), (None, None, True)]))
     assert classes(spark, rows[:0]) == []
     assert len(classes(spark, rows[:1])) == 1
 
@@ -105,6 +106,43 @@ def test_deduplicated(spark):
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3, 4]
 
 
+def test_rows_without_id(spark):
+    """Unique ones stay, and one of each group of copies and near copies without any id."""
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join([*words[:58], "x", "y"])
+    rows = [(None, " ".join(words)), (None, near), (None, near), (None, "on its own here in this text"), (4, "another text with some words"), (None, "another text with some words"), (None, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "z", 3) for i, t in rows], "doc_id long, text string, _kept string, row int")
+    out = neardup.deduplicated(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert len(got) == 5 and sum(r["text"] in (near, " ".join(words)) for r in got) == 1 and [r["doc_id"] for r in got if r["text"] and "another" in r["text"]] == [4]
+
+
+def test_rows_with_equal_ids_and_other_texts(spark):
+    df = spark.createDataFrame([(1, "the first text with five words"), (3, "the first text with five words"), (3, "quite another text of six words"), (3, "quite another text of six words")], "doc_id long, text string")
+    got = neardup.deduplicated(df).collect()
+    assert all(r["doc_id"] in (1, 3) for r in got) and len(got) <= 2 and (1, "the first text with five words") in [tuple(r) for r in got]
+
+
+def test_a_very_long_text(spark):
+    long_ = " ".join(f"v{k}" for k in range(300_000))
+    got = {r["doc_id"]: r["component_id"] for r in classes(spark, [(7, long_), (3, long_ + " and a tail"), (5, long_[: len(long_) // 2])])}
+    assert got == {7: 3, 3: 3, 5: 5}
+
+
+def test_what_blocks_read_grows_with_the_rows(spark):
+    """A bucket of documents that are all strays: rows with all their copies by the number of documents, and the largest shard."""
+    read = {}
+    for n in (2000, 16000, 64000):
+        rows = spark.range(n).selectExpr("1L as key", "id as rep", "id as component")
+        dealt = neardup._dealt(rows, neardup._mixed(rows, F.lit(1)), 100, 200, larger=16)
+        read[n] = dealt.count() / n
+        units = dealt.groupBy("key", "i", "j").count().agg({"count": "max"}).first()[0]
+        assert units <= 2.5 * max(100, min(1600, n / 16))
+        assert dealt.groupBy("shard").count().count() > 0.5 * dealt.count() / max(200, units)
+    assert read[2000] <= 42 and read[16000] <= 34 and read[64000] <= 82
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     for j in (0.5, 0.7, 0.9):
