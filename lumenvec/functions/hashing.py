@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHARDS = 64
+# Fixed value: the multiplier that the method's paper gives.
 _MULTIPLIER = np.uint64(2862933555777941757)
 
 

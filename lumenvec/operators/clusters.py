@@ -1,11 +1,12 @@
 """A table of clusters: nearest-centroid assignment, running means, splits, a hash tree, and searches that probe the nearest clusters only, a fixed number or as many as the k-th distance needs.
 
-Clusters: cluster_id, centroid, n. Their number is bounded by max_clusters (checked), so they travel to the tasks; records never do.
+Clusters: cluster_id, centroid, n. They travel to the tasks in blocks of a bounded number of numbers; records never do. What needs all of them at the driver
+(radii, safe probing, the hash tree) takes max_clusters at most, which is checked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,41 +17,67 @@ from pyspark.sql import types as T
 from ..functions import vectors as V
 from ..functions.hashing import leaf_hash, parent_hash
 from .search import nearest, scored
+from .sums import group_sums
 
 SCHEMA = "cluster_id bigint, centroid array<double>, n bigint"
 MAX_CLUSTERS = 20_000
+#: Numbers of centroids that travel with the tasks at once.
+MAX_BLOCK_NUMBERS = 4_000_000
 
 
 def _matrix(clusters: DataFrame, max_clusters: int) -> tuple[np.ndarray, np.ndarray]:
     rows = clusters.select("cluster_id", "centroid").orderBy("cluster_id").limit(max_clusters + 1).collect()
     if len(rows) > max_clusters:
-        raise ValueError(f"over {max_clusters} clusters: merge or assign level by level")
+        raise ValueError(f"over {max_clusters} clusters")
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
 
 
-def assign(records: DataFrame, clusters: DataFrame, vector: str = "vector", max_clusters: int = MAX_CLUSTERS) -> DataFrame:
-    """records with cluster_id, that of the nearest centroid by full cosine, equal ones by id. One pass, no shuffle."""
-    ids, cents = _matrix(clusters, max_clusters)
-    lengths = np.linalg.norm(cents, axis=1) if len(ids) else np.zeros(0)
-    unit = cents / np.where(lengths > 0, lengths, 1)[:, None] if len(ids) else cents
+def assign(records: DataFrame, clusters: DataFrame, vector: str = "vector", block: int = MAX_BLOCK_NUMBERS) -> DataFrame:
+    """records with cluster_id, that of the nearest centroid by full cosine, equal ones by id; null without a vector or clusters. One pass, no shuffle: centroids go to the tasks in blocks of at most block numbers, each of which names its nearest, and the least of these is taken."""
+    best = [_nearest_in(ids, cents)(F.col(vector)) for ids, cents in _blocks(clusters, block)]
+    if not best:
+        return records.withColumn("cluster_id", F.lit(None).cast("bigint"))
+    return records.withColumn("cluster_id", (F.least(*best) if len(best) > 1 else best[0])["id"])
+
+
+def _blocks(clusters: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    ids, cents, numbers = [], [], 0
+    for r in clusters.select("cluster_id", "centroid").orderBy("cluster_id").toLocalIterator():
+        if ids and numbers + len(r[1]) > block:
+            yield np.array(ids, np.int64), np.array(cents, float)
+            ids, cents, numbers = [], [], 0
+        ids.append(r[0])
+        cents.append(r[1])
+        numbers += len(r[1])
+    if ids:
+        yield np.array(ids, np.int64), np.array(cents, float)
+
+
+def _nearest_in(ids: np.ndarray, cents: np.ndarray):
+    """The distance and id of the nearest centroid for each vector."""
+    lengths = np.linalg.norm(cents, axis=1)
+    unit = cents / np.where(lengths > 0, lengths, 1)[:, None]
 
-    @F.arrow_udf(T.LongType())
+    @F.arrow_udf("far double, id bigint")
     def nearest_id(batch: pa.Array) -> pa.Array:
+        none = np.asarray(batch.is_null())
         known = batch.drop_null()
-        out = np.zeros(len(batch), np.int64)
+        far, out = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
         if len(known):
             m = np.asarray(known.flatten(), float).reshape(len(known), -1)
             size = np.linalg.norm(m, axis=1)
-            best = np.concatenate([np.argmin(np.round(1 - (m[a : a + 4096] / np.where(size > 0, size, 1)[a : a + 4096, None]) @ unit.T, 12), 1) for a in range(0, len(m), 4096)])
-            out[~np.asarray(batch.is_null())] = ids[best]
-        return pa.array(out, pa.int64(), mask=np.asarray(batch.is_null()))
+            m = m / np.where(size > 0, size, 1)[:, None]
+            parts = [np.round(1 - m[a : a + 4096] @ unit.T, 12) for a in range(0, len(m), 4096)]
+            at = np.concatenate([p.argmin(1) for p in parts])
+            far[~none], out[~none] = np.concatenate([p.min(1) for p in parts]), ids[at]
+        return pa.StructArray.from_arrays([pa.array(far, pa.float64(), mask=none), pa.array(out, pa.int64(), mask=none)], names=["far", "id"])
 
-    return records.withColumn("cluster_id", nearest_id(F.col(vector)) if len(ids) else F.lit(None).cast("bigint"))
+    return nearest_id
 
 
 def updated(clusters: DataFrame, assigned: DataFrame, vector: str = "vector") -> DataFrame:
     """Clusters with the means and counts of their new members taken in."""
-    part = assigned.select("cluster_id", F.posexplode(vector).alias("d", "v")).groupBy("cluster_id", "d").agg(F.sum(F.col("v").cast("double")).alias("s"), F.count("*").alias("m"))
+    part = group_sums(assigned, vector, F.col("cluster_id")).select(F.col("value").alias("cluster_id"), "d", "s", F.col("n").alias("m"))
     new = part.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "s"))), lambda x: x["s"]).alias("s"), F.max("m").alias("m"))
     both = clusters.join(new, "cluster_id", "left")
     mean = F.zip_with("centroid", "s", lambda c, s: (c * F.col("n") + s) / (F.col("n") + F.col("m")))
@@ -64,6 +91,7 @@ def started(records: DataFrame, vector: str = "vector", id_col: str = "id") -> D
 
 def split(clusters: DataFrame, max_n: int, step: float = 0.01) -> DataFrame:
     """Clusters of more than max_n become two, with all dimensions shifted by -step and step and half the count each, until none is over. New ids follow the largest."""
+    clusters = clusters.persist()  # a row a cluster, read in each round; the records behind it are not
     while True:
         top = clusters.agg(F.max("cluster_id")).first()[0]
         big = clusters.where(F.col("n") > max_n)

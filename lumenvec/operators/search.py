@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from ..functions.hashing import SHARDS, shard_of
+from .sums import group_sums
 
 #: A query batch's vectors travel with the tasks: at most so many numbers at once.
 MAX_BATCH_NUMBERS = 8_000_000
@@ -156,21 +157,31 @@ def _nearest_task(qids: np.ndarray, q: np.ndarray, k: int, metric: str) -> Calla
 
 
 def shard_top_k(records: DataFrame, query: Column, k: int, shards: int = SHARDS, available: Sequence[int] | None = None, metric: str = "cosine", vector: str = "vector", id_col: str = "id") -> DataFrame:
-    """The best k of each shard, then of all. available: shards that answer; the others' records are missed, as by a partial result."""
+    """The best k of each shard, then of all, with total and responded (shards asked and answering) and partial. available: shards that answer, if not all; the others' records are missed."""
+    answering = range(shards) if available is None else sorted({int(s) for s in available if 0 <= s < shards})
     own = scored(records, query, metric, vector).select(id_col, "score").withColumn("shard", shard_of(F.col(id_col), shards))
     if available is not None:
-        own = own.where(F.col("shard").isin([int(s) for s in available]))
+        own = own.where(F.col("shard").isin(list(answering)))
     ranked = own.withColumn("_n", F.row_number().over(Window.partitionBy("shard").orderBy("score", id_col))).where(F.col("_n") <= k)
-    return nearest(ranked.drop("_n"), k, id_col=id_col)
+    told = {"total": F.lit(shards), "responded": F.lit(len(answering)), "partial": F.lit(len(answering) < shards)}
+    return nearest(ranked.drop("_n"), k, id_col=id_col).withColumns(told)
 
 
 def shard_timeout(within_ms: int | None, shards: int, default_ms: int = 1000) -> int:
     return default_ms if within_ms is None or not shards else max(50, within_ms // shards)
 
 
-def partition_centroids(records: DataFrame, partition: str, vector: str = "vector") -> DataFrame:
-    """partition, n, d, c: from sums and counts, so batches merge."""
-    return records.select(F.col(partition), F.posexplode(vector).alias("d", "v")).groupBy(partition, "d").agg(F.avg(F.col("v").cast("double")).alias("c"), F.count("*").alias("n"))
+def partition_sums(records: DataFrame, partition: str, vector: str = "vector") -> DataFrame:
+    """partition, d, s, n: mergeable sums, also with those of records that come later. Records without a partition are one."""
+    return group_sums(records, vector, F.col(partition)).withColumnRenamed("value", partition)
+
+
+def partition_centroids(records: DataFrame, partition: str, vector: str = "vector", before: DataFrame | None = None) -> DataFrame:
+    """partition, d, c, n. before: the partition_sums() of earlier records, so that only the new ones are read."""
+    part = partition_sums(records, partition, vector)
+    if before is not None:
+        part = part.unionByName(before).groupBy(partition, "d").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return part.select(partition, "d", (F.col("s") / F.col("n")).alias("c"), "n")
 
 
 def nearby_partitions(cents: DataFrame, query: DataFrame, partition: str, threshold: float = 0.15) -> DataFrame:

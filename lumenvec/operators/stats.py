@@ -1,8 +1,8 @@
 """Statistics of vectors by metadata, and the query bias that follows from them.
 
-Every statistic is one aggregation by dimension with map-side partial sums: what is shuffled is a row for each group, dimension and map task,
-never a vector. The results are small (groups times dimensions) and can be kept as tables: (field, value, d, s, n) with sums and counts, which
-merge by addition.
+Every statistic is one pass in which each task adds up its vectors: what is shuffled is a row for each group, dimension and map task,
+never a vector. The results are small (groups times dimensions) and can be kept as tables: (value, d, s, n) with sums and counts, which
+merge by addition, and moments, which merged_moments() merges.
 """
 
 from __future__ import annotations
@@ -14,21 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.nodes import BiasFilter
-
-
-def exploded(records: DataFrame, vector: str, *keys: Column | str) -> DataFrame:
-    """keys, d, v: one row a dimension."""
-    return records.select(*keys, F.posexplode(F.col(vector)).alias("d", "v")).withColumn("v", F.col("v").cast("double"))
+from .sums import group_sums, merged_moments, moments
 
 
 def global_centroid(records: DataFrame, vector: str = "vector") -> DataFrame:
-    return exploded(records, vector).groupBy("d").agg(F.avg("v").alias("c"))
+    return group_sums(records, vector).select("d", (F.col("s") / F.col("n")).alias("c"))
 
 
 def sums(records: DataFrame, field: str, vector: str = "vector") -> DataFrame:
     """Mergeable: value, d, s, n for the rows that have the field."""
-    rows = exploded(records.where(F.col(field).isNotNull()), vector, F.col(field).alias("value"))
-    return rows.groupBy("value", "d").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    return group_sums(records.where(F.col(field).isNotNull()), vector, F.col(field))
 
 
 def merged(*parts: DataFrame) -> DataFrame:
@@ -82,11 +77,15 @@ def bucket_delta(part: DataFrame, f: BiasFilter, bounds: Sequence[float]) -> Dat
     return deltas(part).where(F.col("value").between(low, high)).groupBy("d").agg(F.avg("delta").alias("delta"))
 
 
+def correlated(merged: DataFrame) -> DataFrame:
+    """d, r, mean from merged moments: Pearson's r of the field and each dimension, 0 with fewer than two rows or without variance, and the field's mean."""
+    r = F.coalesce(F.try_divide(F.col("xv"), F.sqrt(F.col("xx")) * F.sqrt(F.col("vv"))), F.lit(0.0))
+    return merged.select("d", F.when(F.col("n") < 2, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"), F.col("mx").alias("mean"))
+
+
 def correlations(records: DataFrame, field: str, vector: str = "vector") -> DataFrame:
-    """d, r, mean: Pearson's r of the field and each dimension, 0 with fewer than two rows or without variance, and the field's mean."""
-    rows = exploded(records.where(F.col(field).isNotNull()), vector, F.col(field).cast("double").alias("x"))
-    r = F.coalesce(F.try_divide(F.covar_pop("x", "v"), F.stddev_pop("x") * F.stddev_pop("v")), F.lit(0.0))
-    return rows.groupBy("d").agg(F.when(F.count("*") < 2, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"), F.avg("x").alias("mean"))
+    """d, r, mean of the records; see correlated."""
+    return correlated(merged_moments(moments(records, vector, F.col(field))))
 
 
 def field_mean(records: DataFrame, field: str) -> DataFrame:
@@ -117,7 +116,7 @@ def gathered(records: DataFrame, path: str, categorical: Sequence[str] = (), buc
     spark = records.sparkSession
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")  # groups times dimensions: small
+        df.repartition(1).write.mode("overwrite").parquet(f"{path}/{name}")  # groups times dimensions: small; what makes them stays spread
         return spark.read.parquet(f"{path}/{name}")
 
     kept = Kept(centroid=stored(global_centroid(records, vector), "centroid"))
@@ -126,7 +125,7 @@ def gathered(records: DataFrame, path: str, categorical: Sequence[str] = (), buc
     for f, bounds in (buckets or {}).items():
         kept.sums[f] = stored(bucket_sums(records, f, bounds, vector), f"sums-{f}")
     for f in numeric:
-        kept.correlations[f] = stored(correlations(records, f, vector), f"correlations-{f}")
+        kept.correlations[f] = correlated(stored(merged_moments(moments(records, vector, F.col(f))), f"moments-{f}"))
     return kept
 
 

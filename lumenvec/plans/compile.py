@@ -110,9 +110,10 @@ def compiled(plan: Node, s: Sources, q: Sequence[float] | Column, footprint: Seq
         mask = V.dense(dict(scan.mask), max([d for d, _ in scan.mask], default=0) + 1 if isinstance(q, Column) else len(q)) if scan.mask else None
         return search.nearest(search.scored(records, vector, s.metric, scan.field, mask), scan.candidates, id_col=s.id_col)
 
-    df = part(s.records)
-    if merge and s.hot is not None:
-        df = search.merge(df, part(s.hot), k=scan.candidates, id_col=s.id_col)
+    if merge and s.hot is not None:  # a hot record stands for its older version in the base
+        df = search.merge(part(search.without(s.records, s.hot, s.id_col)), part(s.hot), k=scan.candidates, id_col=s.id_col)
+    else:
+        df = part(s.records)
     if condition and not condition.before:
         df = df.where(all_of(condition.predicates, fields_of(df, s.metadata)))
     order = [F.col("score").asc(), F.col(s.id_col)]

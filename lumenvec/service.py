@@ -22,11 +22,13 @@ class RateLimit:
     """At most n requests from one address in a window that starts with its first."""
 
     def __init__(self, n: int = 100, window_s: float = 60.0, clock: Callable[[], float] = time.monotonic) -> None:
-        self.n, self.window_s, self.clock, self.seen, self.lock = n, window_s, clock, {}, threading.Lock()
+        self.n, self.window_s, self.clock, self.seen, self.swept, self.lock = n, window_s, clock, {}, clock(), threading.Lock()
 
     def allows(self, address: str) -> bool:
         with self.lock:
             now = self.clock()
+            if now >= self.swept + self.window_s:  # addresses whose window is over are forgotten
+                self.seen, self.swept = {a: x for a, x in self.seen.items() if now - x[0] < self.window_s}, now
             start, used = self.seen.get(address, (now, 0))
             if now - start >= self.window_s:
                 start, used = now, 0

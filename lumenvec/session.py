@@ -52,12 +52,12 @@ class Engine:
         return row and row[0]
 
     def plan(self, text: str) -> Node:
-        return plan(parse(text), self.settings)
+        return plan(parse(text), self.settings, self.sources.extra)
 
     def explain(self, text: str) -> str:
         """The logical plan, then Spark's."""
         q = parse(text)
-        node = plan(q, self.settings)
+        node = plan(q, self.settings, self.sources.extra)
         df = compiled(node, self.sources, self.vector_of(q))
         return tree(node) + "\n" + df._jdf.queryExecution().toString()
 
@@ -65,14 +65,14 @@ class Engine:
         """The result as a lazy DataFrame: no deadline, no timeout."""
         q = parse(text)
         footprint = self.footprint_of(user)
-        return compiled(plan(q, self.settings), self.sources, self.vector_of(q), footprint, semantic=q.kind == "SEMANTIC" and footprint is not None)
+        return compiled(plan(q, self.settings, self.sources.extra), self.sources, self.vector_of(q), footprint, semantic=q.kind == "SEMANTIC" and footprint is not None)
 
     def find(self, text: str, user: object = None) -> Result:
         """Run a query under its deadline and the engine's timeout; Spark jobs that overrun the timeout are cancelled by their tag."""
         t0 = time.perf_counter()
         q = parse(text)
         t1 = time.perf_counter()
-        node = plan(q, self.settings)
+        node = plan(q, self.settings, self.sources.extra)
         t2 = time.perf_counter()
         vector = self.vector_of(q)
         t3 = time.perf_counter()

@@ -86,3 +86,25 @@ def test_strict_mode_drops_a_covered_filter(stored):
     assert {r["category"] for r in strict.collect()} == {"c0", "c1", "c2"}
     ours = compiled(plan(parse(text), Settings(dim=2, alpha=0.0)), Sources(stored), [1.0, 0.0])
     assert {r["category"] for r in ours.collect()} == {"c1"}
+
+
+def test_in_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, 10, "a", 0.5), (2, 20, "b", 1.5), (3, 2**60 + 1, "c", float("nan"))], "id long, n long, s string, x double").write.parquet(path)
+    df = spark.read.parquet(path)
+
+    def where(text):
+        return df.where(all_of(parse(f"FIND SIMILARITY(v, '') WITH METADATA WHERE {text}").where, fields_of(df)))
+
+    for text, ids, pushed in (("n IN (10, 20.0, 7.5)", [1, 2], "In(n"), ("s IN ('a', 'c')", [1, 3], "In(s"), ("x IN (0.5, 7)", [1], "x"), (f"n = {2**60 + 1}", [3], "EqualTo(n"), (f"n = {2**60}", [], "EqualTo(n"), ("n >= 20.0", [2, 3], "GreaterThanOrEqual(n")):
+        found = where(text)
+        assert sorted(r["id"] for r in found.collect()) == ids, text
+        plan = found._jdf.queryExecution().toString()
+        assert pushed in plan.split("PushedFilters: [")[-1].split("]")[0], text
+
+
+def test_nan_in_a_typed_column_is_equal_to_all_numbers(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, 1.0), (3, None)], "id long, x double")
+    for op, ids in (("=", [1]), ("!=", [2]), ("<", [2]), (">", []), ("<=", [1, 2]), (">=", [1])):
+        got = df.where(all_of(parse(f"FIND SIMILARITY(v, '') WITH METADATA WHERE x {op} 5").where, fields_of(df)))
+        assert sorted(r["id"] for r in got.collect()) == ids, op
