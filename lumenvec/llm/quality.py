@@ -4,8 +4,9 @@ Words are maximal runs without ASCII white space. In each text, windows of n wor
 2**64); windows with equal hashes are compared word by word, so a hash collision changes nothing. The coverage of n is
 the share of word characters in windows that occur twice or more, the first occurrence included.
 
-Defined cases: a null or empty text has no words and fails; repeated rows are judged alike; columns other than the id
-and the text are not read.
+Defined cases: a null or empty text has no words and fails; a very long text is measured whole, in memory of a few arrays of one number a word, and its time grows with words times their logarithm;
+windows whose hashes tie are compared themselves; repeated rows, and rows with equal or null ids, are judged alike, a row each; an empty table gives no rows; columns other than the id
+and the text are not read, so their names may be any.
 """
 
 from __future__ import annotations
