@@ -77,12 +77,15 @@ class WordTokenizer:
         if not self.by_words:
             return self.one(text)
         plain = _plain(text) and "<|" not in text  # which may begin a special token
-        words = _words(text.lower()) if plain else text.replace("\n", " ").split(" ")
+        words = _words(text.lower()) if plain else list(map(_chunk, text.replace("\n", " ").split(" ")))
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
         known = self.known
-        new = list(set(itertools.filterfalse(known.__contains__, words if plain else map(_chunk, words))))
-        if plain and new:
+        try:
+            return b"".join(map(known.get, words))
+        except TypeError:  # None for words not seen before
+            new = list(set(itertools.filterfalse(known.__contains__, words)))
+        if plain:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(new):
@@ -90,9 +93,9 @@ class WordTokenizer:
                 known.update(zip(new, map(data.__getitem__, map(slice, [0, *at], at)), strict=False))
             else:
                 known.update((w, self.one(w)) for w in new)
-        elif new:
+        else:
             known.update((w, self.one(w[1:])) for w in new)
-        out = b"".join(map(known.__getitem__, words if plain else map(_chunk, words)))
+        out = b"".join(map(known.__getitem__, words))
         for w in new:
             if len(w) > CACHE_CHARS:
                 del known[w]
