@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sums import group_sums
+
 OLD, NEW = 0.7, 0.3
 
 
@@ -30,8 +32,8 @@ def footprints(clicks: DataFrame, user: str = "user_id", at: str = "ts") -> Data
     share = lambda v, w: F.transform(v, lambda x: x * w)
     parts = recent.select("user", share(F.zip_with("e.c", "e.q", lambda c, q: c * q), F.lit(NEW) * F.pow(F.lit(OLD), F.col("i") - 1)).alias("p"))
     parts = parts.unionByName(whole.select("user", share(F.col("first.c"), F.pow(F.lit(OLD), F.col("n"))).alias("p")))
-    summed = parts.select("user", F.posexplode("p").alias("d", "x")).groupBy("user", "d").agg(F.sum("x").alias("x"))
-    vectors = summed.groupBy("user").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("footprint"))
+    summed = group_sums(parts, "p", F.col("user")).select(F.col("value").alias("user"), "d", "s")
+    vectors = summed.groupBy("user").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "s"))), lambda x: x["s"]).alias("footprint"))
     return vectors.join(whole.select("user", "n"), "user").select(F.col("user").alias(user), "footprint", "n")
 
 

@@ -1,6 +1,6 @@
-"""HTTP: POST /query, POST /insert, GET /health, /health/liveness, /health/readiness, /metrics. A thin adapter for trials, on the standard library.
+"""HTTP: POST /query, POST /insert, GET /health, /health/liveness, /health/readiness, /metrics, /openapi.json, /docs. A thin adapter for trials, on the standard library.
 
-Answers stream from the driver; keys and rate limits are checked before anything else. Errors are {"success": false, "error": ...} with 400,
+Answers are one JSON object, or with Accept: application/x-ndjson a line for each row as it is fetched, without deadline; keys and rate limits are checked before anything else. Errors are {"success": false, "error": ...} with 400,
 401, 404 or 429.
 """
 
@@ -9,12 +9,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import hmac
+import html
+import itertools
 import json
 import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from pyspark.sql import Row
+
 from .session import Engine
 
 
@@ -70,6 +74,31 @@ class Access:
         return bool(self.secret and kind == "Bearer" and claims_of(jwt, self.secret))
 
 
+def openapi() -> dict:
+    """What the service offers, in the OpenAPI form."""
+
+    def operation(summary: str, answers: dict[str, str], required: dict | None = None, other: dict | None = None) -> dict:
+        out = {"summary": summary, "responses": {code: {"description": what} for code, what in answers.items()}}
+        if required:
+            out["requestBody"] = {"required": True, "content": {"application/json": {"schema": {"type": "object", "properties": required | (other or {}), "required": list(required)}}}}
+        return out
+
+    refusals = {"400": "an error", "401": "unauthorized", "429": "too many requests"}
+    reads = {"/health": "Whether the service runs", "/health/liveness": "Whether the service runs", "/health/readiness": "Whether its tables are there", "/metrics": "Counters", "/openapi.json": "This description", "/docs": "This description as a page"}
+    record = {"id": {"type": "integer"}, "vector": {"type": "array", "items": {"type": "number"}}}
+    paths = {
+        "/query": {"post": operation("Run a query text", {"200": "rows, total, partial and timings", **refusals}, {"query": {"type": "string"}}, {"user_id": {}})},
+        "/insert": {"post": operation("Insert a record", {"201": "inserted", **refusals}, record, {"metadata": {"type": "object"}})},
+        **{path: {"get": operation(what, {"200": "ok"})} for path, what in reads.items()},
+    }
+    return {"openapi": "3.0.3", "info": {"title": "lumenvec", "version": "1"}, "paths": paths}
+
+
+def _page(said: dict) -> str:
+    lines = [f"<li><code>{method.upper()} {path}</code> {html.escape(x['summary'])}</li>" for path, methods in said["paths"].items() for method, x in methods.items()]
+    return f"<!doctype html><title>{said['info']['title']}</title><h1>{said['info']['title']}</h1><ul>{''.join(lines)}</ul>"
+
+
 def server(engine: Engine, insert: Callable[[dict], None] | None = None, port: int = 0, access: Access | None = None, limit: RateLimit | None = None, ready: Callable[[], dict[str, bool]] | None = None) -> ThreadingHTTPServer:
     access, limit, counts = access or Access(), limit or RateLimit(), {"queries": 0, "inserts": 0, "errors": 0}
 
@@ -84,6 +113,14 @@ def server(engine: Engine, insert: Callable[[dict], None] | None = None, port: i
             self.end_headers()
             self.wfile.write(data)
 
+        def lines(self, rows: Iterator[Row]) -> None:
+            first = next(rows, None)  # errors of the query come before the head
+            self.send_response(200)
+            self.send_header("Content-Type", "application/x-ndjson")
+            self.end_headers()
+            for r in itertools.chain([] if first is None else [first], rows):
+                self.wfile.write(json.dumps(r.asDict(recursive=True), default=str).encode() + b"\n")
+
         def refused(self) -> bool:
             if not limit.allows(self.client_address[0]):
                 self.answer(429, {"success": False, "error": "too many requests"}, Retry_After=str(int(limit.window_s)))
@@ -99,6 +136,10 @@ def server(engine: Engine, insert: Callable[[dict], None] | None = None, port: i
                 self.answer(200, {"status": "ok"})
             elif self.path == "/health/readiness":
                 self.answer(200 if all(state.values()) else 503, state)
+            elif self.path == "/openapi.json":
+                self.answer(200, openapi())
+            elif self.path == "/docs":
+                self.answer(200, _page(openapi()), **{"Content-Type": "text/html"})
             elif self.path == "/metrics":
                 self.answer(200, "".join(f"lumenvec_{k}_total {v}\n" for k, v in counts.items()))
             else:
@@ -109,7 +150,10 @@ def server(engine: Engine, insert: Callable[[dict], None] | None = None, port: i
                 return
             try:
                 body = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))))
-                if self.path == "/query":
+                if self.path == "/query" and "application/x-ndjson" in self.headers.get("Accept", ""):
+                    self.lines(engine.stream(body["query"], body.get("user_id")))
+                    counts["queries"] += 1
+                elif self.path == "/query":
                     result = engine.find(body["query"], body.get("user_id"))
                     counts["queries"] += 1
                     self.answer(200, {"success": True, "results": [r.asDict(recursive=True) for r in result.rows], "total": result.total, "partial": result.partial, "timings": result.timings_ms})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -67,6 +67,10 @@ class Engine:
         footprint = self.footprint_of(user)
         return compiled(plan(q, self.settings, self.sources.extra), self.sources, self.vector_of(q), footprint, semantic=q.kind == "SEMANTIC" and footprint is not None)
 
+    def stream(self, text: str, user: object = None) -> Iterator[Row]:
+        """The rows of frame(), fetched partition by partition."""
+        yield from self.frame(text, user).toLocalIterator()
+
     def find(self, text: str, user: object = None) -> Result:
         """Run a query under its deadline and the engine's timeout; Spark jobs that overrun the timeout are cancelled by their tag."""
         t0 = time.perf_counter()

@@ -35,10 +35,16 @@ def checked(records: DataFrame, dim: int, vector: str = "vector") -> tuple[DataF
     return records.where(good), records.where(~good)
 
 
+def day_of(created: str) -> Column:
+    """Days since 1970; 0 without a time."""
+    return F.coalesce(F.floor(F.unix_timestamp(created) / 86400).cast("long"), F.lit(0))
+
+
 def write_base(records: DataFrame, path: str, created: str = "created_at", mode: str = "append") -> None:
-    """One directory a day; rows of a day are sorted by id, so that row groups prune point reads."""
-    day = F.coalesce(F.floor(F.unix_timestamp(created) / 86400).cast("long"), F.lit(0))
-    records.withColumn("day", day).repartition("day", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("day", "id").write.mode(mode).partitionBy("day").option("compression", "zstd").parquet(path)
+    """One directory a day; rows of a day are sorted by id, so that row groups prune point reads. mode "days" replaces the days that records have, and no others."""
+    dealt = records.withColumn("day", day_of(created)).repartition("day", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("day", "id")
+    writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") if mode == "days" else dealt.write.mode(mode)
+    writer.partitionBy("day").option("compression", "zstd").parquet(path)
 
 
 def read_base(spark: SparkSession, path: str, days: Sequence[int] | None = None) -> DataFrame:

@@ -61,6 +61,32 @@ def test_http(serve):
     assert "queries_total 1" in ask(port, "/metrics")[1]
 
 
+def test_description_and_lines(serve):
+    port = serve()
+    said = json.loads(ask(port, "/openapi.json")[1])
+    assert set(said["paths"]) >= {"/query", "/insert", "/health", "/metrics"} and "POST /query" in ask(port, "/docs")[1]
+    code, text = ask(port, "/query", {"query": FIND}, Accept="application/x-ndjson")
+    assert code == 200 and [json.loads(x)["id"] for x in text.splitlines()] == [0, 1]
+    assert ask(port, "/query", {"query": "nonsense"}, Accept="application/x-ndjson")[0] == 400
+
+
+def test_forgotten_addresses():
+    now = [0.0]
+    limit = service.RateLimit(2, 60, lambda: now[0])
+    for k in range(100):
+        limit.allows(f"a{k}")
+    now[0] = 120
+    assert limit.allows("b") and set(limit.seen) == {"b"}
+
+
+def test_computed_arguments(engine):
+    got = table_function.sql(engine, "SELECT count(*) AS n, ')' AS s FROM find(concat('FIND SIMILARITY(vector, VECTOR(1.0, 0.0)) ', 'LIMIT ', 1 + 2)) -- find('x')")
+    assert tuple(got.first()) == (3, ")")
+    near = "SIMILARITY(vector, VECTOR(1.0, 0.0)) WITH METADATA WHERE kind"
+    got = table_function.sql(engine, f"SELECT a.id FROM find($$FIND {near} = 'x' LIMIT 9$$) a JOIN FIND(\"FIND {near} = 'y'\") b ON a.id <> b.id")
+    assert got.count() == 4
+
+
 def test_access_and_limits(serve):
     port = serve(access=service.Access(frozenset({"k"}), "s"))
     assert ask(port, "/query", {"query": FIND})[0] == 401
