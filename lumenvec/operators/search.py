@@ -6,11 +6,17 @@ A single query's vector is a constant of the plan, so a search is one scan with
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -171,6 +177,52 @@ def shard_timeout(within_ms: int | None, shards: int, default_ms: int = 1000) ->
     return default_ms if within_ms is None or not shards else max(50, within_ms // shards)
 
 
+class AllShardsFailed(RuntimeError):
+    pass
+
+
+@dataclass
+class Gathered:
+    """The best rows of the shards that answered in time."""
+
+    rows: list[Row]
+    total: int
+    responded: int
+
+    @property
+    def partial(self) -> bool:
+        return self.responded < self.total
+
+
+def scattered(records: DataFrame, query: Column, k: int, within_ms: int | None = None, shards: int = SHARDS, default_ms: int = 1000, at_once: int = 16, metric: str = "cosine", vector: str = "vector", id_col: str = "id") -> Gathered:
+    """The best k of each shard by a job of its own, then of all. records: stored by shard, so that a job reads its shard's files only. Each job has shard_timeout() from its start, then it is cancelled and its shard left out; if none answers, AllShardsFailed."""
+    sc, limit = records.sparkSession.sparkContext, shard_timeout(within_ms, shards, default_ms) / 1000
+
+    def ask(shard: int) -> list[Row] | None:
+        tag = f"shard-{uuid.uuid4().hex}"
+        watch = threading.Timer(limit, sc.cancelJobsWithTag, [tag])
+        sc.addJobTag(tag)
+        watch.start()
+        began = time.monotonic()
+        try:
+            rows = nearest(scored(records.where(F.col("shard") == shard), query, metric, vector), k, id_col=id_col).collect()
+            return rows if time.monotonic() - began <= limit else None
+        except Exception:
+            if time.monotonic() - began <= limit:
+                raise
+            return None
+        finally:
+            watch.cancel()
+            sc.removeJobTag(tag)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        answers = [a for a in pool.map(inheritable_thread_target(records.sparkSession)(ask), range(shards)) if a is not None]
+    if not answers:
+        raise AllShardsFailed(f"none of {shards} shards answered in {limit:g} s")
+    best = sorted((r for a in answers for r in a), key=lambda r: (r["score"], r[id_col]))[:k]
+    return Gathered(best, shards, len(answers))
+
+
 def partition_sums(records: DataFrame, partition: str, vector: str = "vector") -> DataFrame:
     """partition, d, s, n: mergeable sums, also with those of records that come later. Records without a partition are one."""
     return group_sums(records, vector, F.col(partition)).withColumnRenamed("value", partition)

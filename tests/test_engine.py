@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -157,6 +158,21 @@ def test_partition_sums_of_batches(spark):
     assert key(later) == key(search.partition_centroids(r, "p"))
 
 
+def test_scatter_and_gather(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    r = rows(spark, [(k, rng.normal(size=3).tolist(), k % 4) for k in range(80)], "id long, vector array<double>, shard int")
+    r.coalesce(1).write.partitionBy("shard").parquet(str(tmp_path / "r"))  # a task a shard
+    stored, q = spark.read.parquet(str(tmp_path / "r")), V.literal([1, 0, 0])
+    got = search.scattered(stored, q, 7, within_ms=400_000, shards=4)
+    assert (got.total, got.responded, got.partial) == (4, 4, False)
+    assert [x["id"] for x in got.rows] == [x["id"] for x in search.nearest(search.scored(r, q), 7).collect()]
+    late = lambda which: stored.withColumn("vector", F.udf(lambda s, v: (time.sleep(s in which), v)[1], "array<double>")("shard", "vector"))  # noqa: E731  a second a row
+    some = search.scattered(late({2}), q, 7, within_ms=32_000, shards=4)
+    assert (some.total, some.responded, some.partial) == (4, 3, True) and {x["shard"] for x in some.rows} <= {0, 1, 3}
+    with pytest.raises(search.AllShardsFailed):
+        search.scattered(late({0, 1, 2, 3}), q, 7, within_ms=2_000, shards=4)
+
+
 def test_clusters(spark):
     first = clusters.insert(None, rows(spark, [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])], "id long, vector array<double>"), 1000)
     more = clusters.insert(first, rows(spark, [(3, [0.95, 0.05, 0.0]), (4, [0.98, 0.02, 0.0])], "id long, vector array<double>"), 1000)
