@@ -346,7 +346,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, width: int = 5, per
     # what is left: components that promising pairs connect, in buckets of three and more or by another pivot
     of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     labelled = written(shared.select("key", "rep").join(of("rep"), "rep", "left").select("key", "rep", F.coalesce("crep", "rep").alias("component")), "labelled")
-    units = _dealt(labelled, _mixed(labelled, F.lit(1)).where("all > 2"), BLOCK, SHARD_ROWS, larger=16).join(light, "rep")
+    units = _dealt(labelled, _mixed(labelled, F.lit(1)).where("all > 2"), BLOCK // 2, SHARD_ROWS // 2, larger=32).join(light, "rep")
     near = units.groupBy("shard").applyInArrow(lambda t: _near_components(t, least, percent), "a bigint, b bigint")
     others = near_pivots.select("a", "b").join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
     edges = written(near.unionByName(others).distinct(), "near")
