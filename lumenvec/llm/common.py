@@ -27,6 +27,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def stable(rows: DataFrame) -> DataFrame:
+    """rows, such that they keep their places when they are read again: what a shuffle deals out is written first, tables are taken as they are."""
+    return written(rows, "rows") if "Exchange" in rows._jdf.queryExecution().executedPlan().toString() else rows
+
+
 _TYPES = {"bigint": (T.LongType(), pa.int64()), "int": (T.IntegerType(), pa.int32()), "double": (T.DoubleType(), pa.float64()), "boolean": (T.BooleanType(), pa.bool_()), "string": (T.StringType(), pa.string()), "binary": (T.BinaryType(), pa.binary())}
 
 

@@ -12,7 +12,7 @@ edited text hold equally often is sampled once for both. There are as many parti
 
 Defined cases: a null or empty text has no words; a text without words has a fingerprint of dashes, like any other such text and unlike all
 others; a very long one is a row of its partition, whose words are aggregated with spilling; rows with equal ids follow each other by a hash of the text, then
-by their place in the table (which must be the same when it is read again); a null id comes after all others, and such rows are dealt like others; the document after the last is the
+by their place in the table (what a shuffle deals out is written first, so that places stay); a null id comes after all others, and such rows are dealt like others; the document after the last is the
 first, so a single document follows itself; an empty table gives no rows; columns other than the id and the text are not read, so their names may be any.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_order, written
+from .common import in_order, stable, written
 
 SAMPLES, DIGITS, GRID = 32, 5, 512
 #: Code points of own texts in a partition.
@@ -109,7 +109,7 @@ def _order(light: DataFrame) -> DataFrame:
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
     """For each row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The edited text has the text's last half of code points replaced by the first as many of the next document, by descending id."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = stable(docs.select(id_col, text_col)).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = written(_order(rows.select("row", "id", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n"))), "order")
     parts = max(1, math.ceil((order.agg(F.sum("n")).first()[0] or 0) / part_chars))
     dealt = rows.select("row", "text").repartition(parts, "row")  # the same columns wherever it is used, so that texts are shuffled once

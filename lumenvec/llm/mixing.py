@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, in_order, written
+from .common import WORD, in_order, stable, written
 
 LANDING = 12
 #: Tables with a row for each source are sent to all tasks up to so many bytes, which are summed first; beyond, sources meet their rows in a shuffled join.
@@ -196,7 +196,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs. Rows meet their copies by their place in the table, which must be the same when it is read again."""
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs. Rows meet their copies by their place in the table; what a shuffle deals out is written first, so that places stay."""
+    docs = stable(docs)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
     how = _taken(docs, id_col, text_col, source_col, **options).where("copies > 0").select("row", "copies")
     return rows.join(how, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

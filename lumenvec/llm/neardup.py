@@ -18,8 +18,8 @@ A bucket of n documents of other components each is compared in blocks: its sign
 
 Defined cases: a text without words, empty, or null, has no shingles and links with nothing, so it is kept; one with fewer words than a shingle has one
 shingle, its whole sequence; a very long text is one set, whose minima are taken piece by piece; repeated rows are copies, of which deduplicated() leaves one; of documents as promising the pivot with the smaller id is
-compared first; rows with equal ids and other texts are one document to their links; a row without id joins the component of its copies and near copies like any other (its place in the table, which must be the same when it is read
-again, stands for the id, after all ids), and where none of these has an id, one row is kept and component_id is null; an empty table gives no rows; columns other than the id and the text
+compared first; rows with equal ids and other texts are one document to their links; a row without id joins the component of its copies and near copies like any other (its place in the table stands for the id, after all ids; what a shuffle
+deals out is written first, so that places stay), and where none of these has an id, one row is kept and component_id is null; an empty table gives no rows; columns other than the id and the text
 are carried or left out, never read, so their names may be any.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, written
+from .common import dropped, stable, written
 
 BANDS, ROWS, BITS = 28, 4, 4
 PLACES = BANDS * ROWS
@@ -301,7 +301,7 @@ def _mixed(rows: DataFrame, weight: Column) -> DataFrame:
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 85) -> DataFrame:
     """For each row of docs: row (its place), id (or NO_ID and the place), n, component (an id of that kind), and whether it is the first row of its set."""
-    least = least_places(percent / 100)
+    docs, least = stable(docs), least_places(percent / 100)
     place = F.monotonically_increasing_id()
     rows = docs.select(place.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + place).alias("id"), F.col(text_col).alias("t"))
     signed = written(rows.select("row", "id", _signatures(width)(F.col("t")).alias("s")).select("row", "id", "s.*"), "signed")
@@ -378,6 +378,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each component, with the columns of docs."""
+    docs = stable(docs)
     kept = _classified(docs, id_col, text_col, **options).where((F.col("id") == F.col("component")) & F.col("first")).select("row")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
     return rows.join(kept, "row", "left_semi").select("doc.*")

@@ -12,7 +12,7 @@ that folder, lists records of committed tasks only, so files that a lost attempt
 bytes they hold.
 
 Defined cases: a null payload counts as empty; a very long one is one record in a frame of its own; rows with equal ids have records with identifiers of their own, as
-these come from the id and the row's place in the table (which must be the same when the table is read again); of rows with equal id and payload all are responses
+these come from the id and the row's place in the table (what a shuffle deals out is written first, so that places stay); of rows with equal id and payload all are responses
 if theirs is the smallest id; a null id never is the smallest, and where all are null all are responses; urls are escaped in the target header and kept whole in
 another; an empty table gives an empty manifest and no file; columns other than the three are not read, so their names may be any.
 """
@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_struct, folder, spark_struct, written
+from .common import arrow_struct, folder, spark_struct, stable, written
 
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 DATE = "2024-01-01T00:00:00Z"
@@ -195,7 +195,7 @@ def _sift(least: int):
 def stored(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
     """page_id, row, url, payload (null for revisits), sha1 (hexadecimal), size, refers_to, refers_row."""
     data = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), F.col(url_col).alias("url"), data.alias("payload"))
+    rows = stable(pages.select(id_col, url_col, payload_col)).select(F.col(id_col).cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), F.col(url_col).alias("url"), data.alias("payload"))
     light = rows.where(F.octet_length("payload") >= min_revisit_bytes).select("page_id", "row", F.sha1("payload").alias("sha1"))
     first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first")
     groups = light.groupBy("sha1").agg(first, F.count("*").alias("n")).where("n > 1 and first is not null")

@@ -106,6 +106,16 @@ def test_rows_without_id_are_spread(spark):
     assert len(got) == 3000 and abs(sum(r["taken"] for r in got) - 1.5 * 9000) <= 3
 
 
+def test_rows_that_a_shuffle_deals_out(spark):
+    df = docs(spark).where("doc_id between 10 and 400").join(spark.range(0, 1000, 2).withColumnRenamed("id", "doc_id"), "doc_id").repartition(6, "source")
+    took = {}
+    for r in mixing.mixed(df).collect():
+        took[r["doc_id"]] = took.get(r["doc_id"], 0) + 1
+    words = {r["doc_id"]: len(r["text"].split()) for r in df.collect()}
+    goals = mixing.mix(df).groupBy().agg({"taken": "sum"}).first()[0]
+    assert max(took.values()) <= 2 and abs(sum(words[i] * n for i, n in took.items()) - goals) <= 0.05 * goals
+
+
 def test_levels(spark):
     df = spark.range(5000).selectExpr("id as doc_id", "repeat('w ', cast(id % 97 as int)) as text", "'s' as source")
     got = mixing.mix(df.unionByName(df.selectExpr("doc_id + 10000 as doc_id", "text", "'t' as source")), weights=(3, 1))
