@@ -51,14 +51,15 @@ def _array(values: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def _bid(h: Column, ln_weight: Column, r_grid: Column, c_grid: Column) -> Column:
-    """A word's bid for a sample by its hash: a long whose order is that of ln c - r * (t - b + 1), and whose last 20 bits tell word and t."""
+def _bid(h: Column, ln_weight: Column, grids: dict[str, Column]) -> Column:
+    """A word's bid for a sample by its hash: a long whose order is that of ln c - r * (t - b + 1), and whose last 20 bits tell word and t.
+
+    Nothing in it can be null as Spark sees it (products for quotients, defaults for array reads), so the code made of it has no branches: with them the JIT compiler's memory outgrows the heap."""
     bits = int(math.log2(GRID))
-    r = F.get(r_grid, h.bitwiseAND(F.lit(GRID - 1)).cast("int"))
-    ln_c = F.get(c_grid, F.shiftrightunsigned(h, bits).bitwiseAND(F.lit(GRID - 1)).cast("int"))
-    b = F.shiftrightunsigned(h, 2 * bits).bitwiseAND(F.lit((1 << 24) - 1)) / F.lit(float(1 << 24))
-    t = F.floor(ln_weight / r + b)
-    bid = F.floor((ln_c - r * (t - b + F.lit(1.0)) + F.lit(96.0)) * F.lit(float(1 << 34))).cast("long")
+    read = lambda name, shift: F.coalesce(F.get(grids[name], F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(GRID - 1)).cast("int")), F.lit(1.0))
+    b = F.shiftrightunsigned(h, 2 * bits).bitwiseAND(F.lit((1 << 24) - 1)).cast("double") * F.lit(2.0**-24)
+    t = F.floor(ln_weight * read("1/r", 0) + b)
+    bid = F.floor((read("ln c", bits) - read("r", 0) * (t.cast("double") - b + F.lit(1.0)) + F.lit(96.0)) * F.lit(float(1 << 34))).cast("long")
     who = F.shiftrightunsigned(h, 44).bitwiseXOR(t.cast("long") * F.lit(0x9E3B)).bitwiseAND(F.lit(0xFFFFF))
     return F.shiftleft(bid, 20).bitwiseOR(who)
 
@@ -76,9 +77,9 @@ def _words(text: Column) -> Column:
 
 def _lowest(weighted: DataFrame, keys: list[str]) -> DataFrame:
     """keys, s0, s1, ...: the lowest bids over rows (keys, term, ln)."""
-    r_grid, c_grid = _array(_R), _array(_LN_C)
-    hashed = weighted.select(*keys, "ln", *[F.xxhash64("term", F.lit(k)).alias(f"h{k}") for k in range(SAMPLES)])  # columns: a bid reads its hash several times
-    return hashed.groupBy(*keys).agg(*[F.min(_bid(F.col(f"h{k}"), F.col("ln"), r_grid, c_grid)).alias(f"s{k}") for k in range(SAMPLES)])
+    grids = {"r": _array(_R), "1/r": _array([1 / r for r in _R]), "ln c": _array(_LN_C)}
+    hashed = weighted.select(*keys, F.coalesce("ln", F.lit(0.0)).alias("ln"), *[F.xxhash64("term", F.lit(k)).alias(f"h{k}") for k in range(SAMPLES)])  # columns: a bid reads its hash several times
+    return hashed.groupBy(*keys).agg(*[F.min(_bid(F.col(f"h{k}"), F.col("ln"), grids)).alias(f"s{k}") for k in range(SAMPLES)])
 
 
 def _digits(prefix: str = "s") -> Column:
