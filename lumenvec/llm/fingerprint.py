@@ -54,7 +54,7 @@ def _array(values: list[float]) -> Column:
 def _bid(h: Column, ln_weight: Column, grids: dict[str, Column]) -> Column:
     """A word's bid for a sample by its hash: a long whose order is that of ln c - r * (t - b + 1), and whose last 20 bits tell word and t.
 
-    Nothing in it can be null as Spark sees it (products for quotients, defaults for array reads), so the code made of it has no branches: with them the JIT compiler's memory outgrows the heap."""
+    Nothing in it can be null as Spark sees it (products for quotients, defaults for array reads), so the code made of it has few branches; with many, an executor once outgrew its memory, most likely in the JIT compiler."""
     bits = int(math.log2(GRID))
     read = lambda name, shift: F.coalesce(F.get(grids[name], F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(GRID - 1)).cast("int")), F.lit(1.0))
     b = F.shiftrightunsigned(h, 2 * bits).bitwiseAND(F.lit((1 << 24) - 1)).cast("double") * F.lit(2.0**-24)
