@@ -23,6 +23,8 @@ SCHEMA = "cluster_id bigint, centroid array<double>, n bigint"
 MAX_CLUSTERS = 20_000
 #: Numbers of centroids that travel with the tasks at once.
 MAX_BLOCK_NUMBERS = 4_000_000
+#: Records and centroids whose distances a task holds at once.
+TILE_RECORDS, TILE_CENTROIDS = 512, 1024
 
 
 def _matrix(clusters: DataFrame, max_clusters: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,7 +35,7 @@ def _matrix(clusters: DataFrame, max_clusters: int) -> tuple[np.ndarray, np.ndar
 
 
 def assign(records: DataFrame, clusters: DataFrame, vector: str = "vector", block: int = MAX_BLOCK_NUMBERS) -> DataFrame:
-    """records with cluster_id, that of the nearest centroid by full cosine, equal ones by id; null without a vector or clusters. One pass, no shuffle: centroids go to the tasks in blocks of at most block numbers, each of which names its nearest, and the least of these is taken."""
+    """records with cluster_id, that of the nearest centroid by full cosine, equal ones by id; null without a vector or clusters. One pass, no shuffle: centroids go to the tasks in blocks of at most block numbers, each of which names its nearest, and the least of these is taken. Distances are held for a tile of records and centroids only; a task holds all centroids, 16 bytes a number."""
     best = [_nearest_in(ids, cents)(F.col(vector)) for ids, cents in _blocks(clusters, block)]
     if not best:
         return records.withColumn("cluster_id", F.lit(None).cast("bigint"))
@@ -62,14 +64,22 @@ def _nearest_in(ids: np.ndarray, cents: np.ndarray):
     def nearest_id(batch: pa.Array) -> pa.Array:
         none = np.asarray(batch.is_null())
         known = batch.drop_null()
-        far, out = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
-        if len(known):
-            m = np.asarray(known.flatten(), float).reshape(len(known), -1)
+        far, out, places = np.zeros(len(batch)), np.zeros(len(batch), np.int64), np.flatnonzero(~none)
+        for a in range(0, len(known), TILE_RECORDS):
+            some = known.slice(a, TILE_RECORDS)
+            m = np.asarray(some.flatten(), float).reshape(len(some), -1)
             size = np.linalg.norm(m, axis=1)
             m = m / np.where(size > 0, size, 1)[:, None]
-            parts = [np.round(1 - m[a : a + 4096] @ unit.T, 12) for a in range(0, len(m), 4096)]
-            at = np.concatenate([p.argmin(1) for p in parts])
-            far[~none], out[~none] = np.concatenate([p.min(1) for p in parts]), ids[at]
+            best, at = np.full(len(m), np.inf), np.zeros(len(m), np.int64)
+            for c in range(0, len(unit), TILE_CENTROIDS):
+                d = m @ unit[c : c + TILE_CENTROIDS].T
+                np.round(np.subtract(1, d, out=d), 12, out=d)
+                own = d.argmin(1)
+                both = np.stack([best, d[np.arange(len(d)), own]])
+                later = both.argmin(0) == 1  # equal ones stay with the earlier tile, where ids are smaller; NaN comes first, as within a tile
+                best, at = both.min(0), np.where(later, c + own, at)
+            to = places[a : a + TILE_RECORDS]
+            far[to], out[to] = best, ids[at]
         return pa.StructArray.from_arrays([pa.array(far, pa.float64(), mask=none), pa.array(out, pa.int64(), mask=none)], names=["far", "id"])
 
     return nearest_id

@@ -33,11 +33,8 @@ def _padded(a: np.ndarray, dim: int) -> np.ndarray:
     return a if a.shape[-1] == dim else np.pad(a, [(0, 0)] * (a.ndim - 1) + [(0, dim - a.shape[-1])])
 
 
-def group_sums(records: DataFrame, vector: str, value: Column | None = None) -> DataFrame:
-    """value, d, s, n: sums and counts of the vectors' numbers by value (null without one) and dimension. Rows without a vector are left out."""
-    own = records.where(F.col(vector).isNotNull()).select((F.lit(None).cast("int") if value is None else value).alias("value"), F.col(vector).alias("v"))
-    kind = own.schema["value"].dataType
-    schema = T.StructType([T.StructField("value", kind), T.StructField("d", T.IntegerType()), T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
+def _adder():
+    """What a task does with batches of values and vectors: it holds HELD numbers and those of one batch, in however many batches the values are new."""
 
     def rows(held: dict) -> Iterator[pa.RecordBatch]:
         for name, (s, n) in held.items():
@@ -62,7 +59,7 @@ def group_sums(records: DataFrame, vector: str, value: Column | None = None) ->
             for k, s, c in zip(at[order][cut].tolist(), sums, counts, strict=True):
                 old = held.get(names[k])
                 if old is None:
-                    held[names[k]] = s, c
+                    held[names[k]] = s.copy(), c.copy()  # a view would keep the sums of its whole batch
                     numbers += 2 * len(s)
                 else:
                     dim = max(len(s), len(old[0]))
@@ -72,7 +69,15 @@ def group_sums(records: DataFrame, vector: str, value: Column | None = None) ->
                 held, numbers = {}, 0
         yield from rows(held)
 
-    return own.mapInArrow(task, schema).groupBy("value", "d").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return task
+
+
+def group_sums(records: DataFrame, vector: str, value: Column | None = None) -> DataFrame:
+    """value, d, s, n: sums and counts of the vectors' numbers by value (null without one) and dimension. Rows without a vector are left out."""
+    own = records.where(F.col(vector).isNotNull()).select((F.lit(None).cast("int") if value is None else value).alias("value"), F.col(vector).alias("v"))
+    kind = own.schema["value"].dataType
+    schema = T.StructType([T.StructField("value", kind), T.StructField("d", T.IntegerType()), T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
+    return own.mapInArrow(_adder(), schema).groupBy("value", "d").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 MOMENTS = "d int, n long, mx double, mv double, xx double, vv double, xv double"

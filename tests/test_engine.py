@@ -3,8 +3,10 @@
 import json
 import math
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +131,28 @@ def test_sums_of_ragged_and_missing_vectors(spark, monkeypatch):
     assert {(r["value"], r["d"]): (r["s"], r["n"]) for r in got} == want
 
 
+def peak_mb(f):
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_sums_hold_no_batches():
+    def batches():  # each has one group that is new, and 999 that are known
+        for k in range(60):
+            yield pa.RecordBatch.from_arrays([pa.array([*range(999), 1000 + k]), pa.FixedSizeListArray.from_arrays(pa.array(np.ones(64_000)), 64).cast(pa.list_(pa.float64()))], names=["value", "v"])
+
+    def run():
+        nonlocal total
+        total = sum(np.asarray(b.column(2)).sum() for b in sums._adder()(batches()))
+
+    total = 0
+    assert peak_mb(run) < 20 and total == 60 * 64_000
+
+
 def test_moments_of_batches_add_up(spark):
     rng = np.random.default_rng(5)
     x, v = 1e6 + rng.normal(size=300), rng.normal(size=(300, 4))
@@ -151,6 +175,25 @@ def test_centroids_in_blocks(spark):
     assert clusters.assign(r, c.limit(0)).where("cluster_id is not null").count() == 0
 
 
+def test_distances_are_held_by_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    vectors = lambda m: pa.array([None if v is None else list(v) for v in m], pa.list_(pa.float64()))
+    many = clusters._nearest_in(np.arange(10_000), rng.normal(size=(10_000, 4))).func
+    assert peak_mb(lambda: many(vectors(rng.normal(size=(4096, 4))))) < 40
+    cents = rng.normal(size=(11, 4))
+    cents[9], cents[10], cents[5] = cents[2], 3 * cents[4], 0
+    m = [*rng.normal(size=(7, 4)), None, cents[2], cents[4], -cents[0], np.zeros(4), None, np.full(4, np.nan), *rng.normal(size=(8, 4))]
+    want = []
+    for v in m:
+        lengths = np.linalg.norm(cents, axis=1) * (1 if v is None else np.linalg.norm(v))
+        d = None if v is None else np.round(1 - cents @ v / np.where(lengths == 0, 1, lengths), 12)
+        want.append(None if v is None else int(100 + d.argmin()))
+    for tile in ((3, 2), (1, 1), (5, 100)):
+        monkeypatch.setattr(clusters, "TILE_RECORDS", tile[0])
+        monkeypatch.setattr(clusters, "TILE_CENTROIDS", tile[1])
+        assert clusters._nearest_in(np.arange(100, 111), cents).func(vectors(m)).field("id").to_pylist() == want
+
+
 def test_partition_sums_of_batches(spark):
     r = rows(spark, [(k, [float(k), 1.0], k % 3) for k in range(30)], "id long, vector array<double>, p int")
     later = search.partition_centroids(r.where("id >= 20"), "p", before=search.partition_sums(r.where("id < 20"), "p"))
